@@ -7,8 +7,10 @@ words occur. A document of n words counts n * posterior tokens for each domain.
 
 Rates r >= 0 of documents are then fitted so that the domain totals sum(r * tokens)
 meet the targets, by projected gradient steps on the squared difference, in the metric
-of token counts: r = max(0, r + p . y) with y the solution of the small system of
-domain totals. A step needs one aggregation of as many numbers as there are domains; r is
+of token counts: r = max(0, r + p . y) with y the difference times the inverse of the
+domains' Gram matrix. That matrix is of all documents and stays the same, so a
+step is of length one over the Lipschitz constant and never makes the fit worse; targets that no
+rates meet are approached in least squares. A step needs one aggregation of as many numbers as there are domains; r is
 recomputed from the steps, so nothing is collected and nothing is written between.
 
 Documents without words have no tokens and keep rate 1. Null text has no words. Rows
@@ -140,10 +142,13 @@ def fit_rates(soft: DataFrame, target: dict[str, float] | None = None) -> DataFr
     for _ in range(STEPS):
         r = F.when(n > 0, _rate(steps)).otherwise(1.0)
         live = soft.select("n_tokens", *p, r.alias("r"))
-        sums = [F.sum(F.col("r") * n * a) for a in p] + [F.sum(F.when(F.col("r") > 0, n * p[i] * p[j]).otherwise(0.0)) for i in range(size) for j in range(size)] + [F.sum(n)]
+        sums = [F.sum(F.col("r") * n * a) for a in p]
+        if goal is None:
+            sums += [F.sum(n * p[i] * p[j]) for i in range(size) for j in range(size)] + [F.sum(n)]
         got = [float(x or 0) for x in live.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        have, gram, total = np.array(got[:size]), np.array(got[size:-1]).reshape(size, size), got[-1]
+        have = np.array(got[:size])
         if goal is None:
+            gram, total = np.array(got[size:-1]).reshape(size, size), got[-1]
             goal = np.array([target[d] for d in DOMAINS]) * total
         gap = goal - have
         if total == 0 or np.abs(gap).max() <= TOLERANCE * total:
