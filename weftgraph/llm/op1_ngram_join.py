@@ -11,7 +11,8 @@ shingle still allow the threshold.
 In a bucket of few classes every pair is a candidate. In a larger one all are
 first held against one centre; verified links give components; a second round
 tests the pairs that lie in different components. Links inside a component can
-not change the result, so large groups of copies cost a pair per member.
+not change the result: a task does not verify a pair that its links already join, and large
+groups of copies cost a few links per member.
 
 Empty and null texts have no shingles and link with nothing. Rows with equal
 text are one class, also when doc_id repeats or is null (null never becomes a
@@ -367,11 +368,25 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify(batches):
+    """Links of this task's pairs, less those whose ends its earlier links already join."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
     for batch in batches:
-        u1, u2 = batch.column("u1"), batch.column("u2")
-        ok = [overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(u1, u2, strict=True)]
-        keep = pa.array([x >= 0 for x in ok], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("f1").filter(keep), batch.column("f2").filter(keep)], names=["f1", "f2"])
+        keep = []
+        for f1, f2, x, y in zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), batch.column("u1"), batch.column("u2"), strict=True):
+            r1, r2 = top(f1), top(f2)
+            link = r1 != r2 and overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= 0
+            if link:
+                root[r1] = r2
+            keep.append(link)
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("f1").filter(mask), batch.column("f2").filter(mask)], names=["f1", "f2"])
 
 
 def _cells_of(batches):
@@ -384,7 +399,7 @@ def _cells_of(batches):
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of classes that link. Only sets that a pair may ask for leave the scan:
+    """Links that span the pairs of classes that link. Only sets that a pair may ask for leave the scan:
     a table of CELLS bits says which; false hits cost traffic, never a result."""
     spark = docs.sparkSession
     ends = pairs.select(F.col("f1").alias("f")).unionByName(pairs.select(F.col("f2").alias("f")))
