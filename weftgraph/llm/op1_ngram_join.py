@@ -40,6 +40,8 @@ CHUNKS = 64
 #: Up to this many classes a bucket yields all its pairs at once.
 SMALL = 8
 PIECE = 1 << 20
+#: Links that one task joins up in memory.
+LINKS = 200_000
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -410,6 +412,31 @@ def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return two.mapInArrow(_verify, "f1 long, f2 long")
 
 
+def _stars(batches):
+    """Every end of this task's links with the smallest end that they connect it to."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := root.setdefault(x, x)) != x:
+            root[x] = root[y]
+            x = y
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column("f1").to_pylist(), batch.column("f2").to_pylist(), strict=True):
+            a, b = top(x), top(y)
+            root[max(a, b)] = min(a, b)
+    pairs = [(t, x) for x in list(root) if (t := top(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["f1", "f2"])
+
+
+def _components(links: DataFrame) -> DataFrame:
+    """Labels of linked classes. Links are first joined up in blocks of about LINKS each,
+    so the distributed rounds see a link or two for each class, however dense its group."""
+    blocks = max(1, -(-links.count() // LINKS))
+    return cut(connected_components(links.coalesce(blocks).mapInArrow(_stars, "f1 long, f2 long"), "f1", "f2"))
+
+
 def ngram_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
@@ -424,15 +451,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     shared = scratch.save("shared", posted.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_shared, "h long, f long, sp long"))
     pairs = scratch.save("pairs", shared.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_first_round, "f1 long, f2 long").distinct())
     links = cut(_linked(docs, pairs))
-    labels = cut(connected_components(links, "f1", "f2"))
+    labels = _components(links)
 
     label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
     named = shared.join(label, "f", "left").select("h", F.coalesce("c", "f").alias("c"), "f", "sp")
     rest = named.repartition("h").sortWithinPartitions("h", "c", "f").mapInArrow(_second_round, "f1 long, f2 long").distinct()
     rest = cut(rest.join(pairs, ["f1", "f2"], "left_anti"))
     if not rest.isEmpty():
-        more = _linked(docs, rest)
-        labels = cut(connected_components(links.unionByName(more), "f1", "f2"))
+        more = cut(_linked(docs, rest))
+        labels = _components(links.unionByName(more))
         label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
     scratch.drop("shared")
     scratch.drop("pairs")
