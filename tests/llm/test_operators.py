@@ -75,9 +75,37 @@ def test_pairs_of_large_buckets():
 
     n = op1_ngram_join.SMALL + 4
     c = np.sort(np.arange(n) % 3)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(c), pa.array(np.arange(n)), pa.array(np.full(n, 100 << 31))], names=["h", "c", "f", "sp"])
-    got = {(x, y) for b in op1_ngram_join._second_round(iter([batch])) for x, y in zip(*(b.column(k).to_pylist() for k in ("f1", "f2")), strict=True)}
-    assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if c[i] != c[j]}
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(c), pa.array(np.arange(n)), pa.array(np.full(n, 100 << 31)), pa.array([[0] * 8] * n)], names=["h", "c", "f", "sp", "odd"])
+    for centres, want in ((None, n), (n, n), (2, 2)):
+        got = {(x, y) for b in op1_ngram_join._later_round(centres)(iter([batch])) for x, y in zip(*(b.column(k).to_pylist() for k in ("f1", "f2")), strict=True)}
+        assert got == {(i, j) for i in range(want) for j in range(i + 1, n) if c[i] != c[j]}
+
+
+def test_parities_bound_the_difference():
+    """No set that links is lost: parities differ in at most as many places as the sets."""
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 400, 3000):
+        u = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for drop in (0, n // 10, n // 2):
+            v = np.unique(np.concatenate((u[drop:], rng.integers(0, 1 << 63, drop, dtype=np.uint64))))
+            apart = int(np.bitwise_count((op1_ngram_join.parities(u) ^ op1_ngram_join.parities(v)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(u, v))
+
+
+def test_shared_postings_in_any_batches():
+    """Shared shingles, once a class, and whether more than SMALL classes have them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = sorted((h, int(f)) for h, n in enumerate((1, 8, 9, 30, 2, 1, 40)) for f in rng.integers(0, 60, n))
+    classes = {h: {f for g, f in rows if g == h} for h, _ in rows}
+    want = [(h, f, len(classes[h]) > op1_ngram_join.SMALL) for h in sorted(classes) for f in sorted(classes[h]) if len(classes[h]) > 1]
+    for size in (1, 2, 7, 8, 9, 10, 1000):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p]), pa.array([r[1] for r in p]), pa.array([5] * len(p))], names=["h", "f", "sp"]) for p in parts]
+        got = [x for b in op1_ngram_join._shared(iter(batches)) for x in zip(*(b.column(k).to_pylist() for k in ("h", "f", "large")), strict=True)]
+        assert got == want
+    assert list(op1_ngram_join._shared(iter([]))) == []
 
 
 def test_licenses(spark, none):

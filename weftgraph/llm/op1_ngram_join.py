@@ -9,9 +9,12 @@ that share one are candidates if their lengths and the positions of the shared
 shingle still allow the threshold.
 
 In a bucket of few classes every pair is a candidate. In a larger one all are
-first held against one centre; verified links give components; a second round
-tests the pairs that lie in different components. Links inside a component can
-not change the result: a task does not verify a pair that its links already join, and large
+first held against one centre; verified links give components; where classes of a bucket
+still differ in component, a second round holds them against CENTRES centres, and a third
+tests all pairs that lie in different components. In these the suffix filter comes
+before the pair is made: the parities of BITS hash ranges differ in no more places
+than the sets do, so a pair whose parities differ in too many can not link. Links
+inside a component can not change the result: a task does not verify a pair that its links already join, and large
 groups of copies cost a few links per member.
 
 Empty and null texts have no shingles and link with nothing. Rows with equal
@@ -22,6 +25,7 @@ empty result. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +44,10 @@ CHUNKS = 64
 #: Up to this many classes a bucket yields all its pairs at once.
 SMALL = 8
 PIECE = 1 << 20
+#: Centres of a large bucket in the second round.
+CENTRES = 16
+#: Parities that a class carries into the second and third round.
+BITS = 512
 #: Links that one task joins up in memory.
 LINKS = 200_000
 
@@ -132,6 +140,12 @@ def fingerprint(u: np.ndarray) -> int:
     return int(x.view(np.int64)[0])
 
 
+def parities(u: np.ndarray) -> np.ndarray:
+    """Whether each of BITS hash ranges holds an odd number of a set's shingles, in words of 64 bits."""
+    odd = np.bincount((u & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _documents(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield from map(shingles, texts_words([x.encode("utf-8", "surrogatepass") if x else b"" for x in batch.column("text").to_pylist()]))
 
@@ -161,18 +175,19 @@ def _total(rows: DataFrame) -> np.ndarray:
     return out
 
 
-_SURVEY = "doc_id long, n long, f long, chunk int, counts binary"
-_SURVEY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+_SURVEY = "doc_id long, n long, f long, odd array<long>, chunk int, counts binary"
+_SURVEY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f", pa.int64()), ("odd", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
 
 
 def _survey(batches):
-    """A row (doc_id, size, fingerprint) for each text, then this task's part of the sketch."""
+    """A row (doc_id, size, fingerprint, parities) for each text, then this task's part of the sketch."""
     cells = np.zeros(CELLS, np.int64)
     for batch in batches:
-        sizes, prints, held, count = [], [], [], 0
+        sizes, prints, odd, held, count = [], [], [], [], 0
         for u in _documents(batch):
             sizes.append(len(u))
             prints.append(fingerprint(u))
+            odd.append(parities(u))
             held.append(u)
             count += len(u)
             if count > CELLS:
@@ -181,10 +196,10 @@ def _survey(batches):
         if held:
             cells += np.bincount((np.concatenate(held) >> _U(44)).astype(np.int64), minlength=CELLS)
         none = pa.nulls(len(sizes))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SURVEY_ARROW)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(odd, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())], schema=_SURVEY_ARROW)
     chunk, counts = _chunk_rows(cells)
     none = pa.nulls(len(chunk)).cast(pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())], schema=_SURVEY_ARROW)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(chunk)).cast(pa.list_(pa.int64())), pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())], schema=_SURVEY_ARROW)
 
 
 def prefix(n):
@@ -226,31 +241,41 @@ def _postings(rank):
 
 
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
-    return [batch.column(x).to_numpy(zero_copy_only=False) for x in names]
+    """Columns as arrays; a column of lists of one length has two dimensions."""
+    got = (batch.column(x) for x in names)
+    return [x.flatten().to_numpy().reshape(len(x), -1) if pa.types.is_list(x.type) and len(x) else x.to_numpy(zero_copy_only=False) for x in got]
 
 
 def _shared(batches):
-    """Of postings sorted by (h, f): those whose shingle at least two classes have, once each."""
-    last = None  # the last row, and whether it is already known to be shared
-    names = ("h", "f", "sp")
-    for batch in batches:
-        h, f, sp = _columns(batch, names)
-        if not len(h):
-            continue
-        if last is not None:
-            h, f, sp = (np.concatenate(([x], y)) for x, y in zip(last[:3], (h, f, sp), strict=True))
-        same = h[1:] == h[:-1]
-        fresh = np.concatenate(([True], ~(same & (f[1:] == f[:-1]))))
-        known = last is not None and last[3]
-        h, f, sp = h[fresh], f[fresh], sp[fresh]
-        same = h[1:] == h[:-1]
-        mark = np.concatenate(([known], same)) | np.concatenate((same, [False]))
-        last = (h[-1], f[-1], sp[-1], bool(mark[-1]))
-        mark[-1] = False
+    """Of postings sorted by (h, f): those whose shingle at least two classes have, once each;
+    large says whether more than SMALL have it."""
+    held: list[np.ndarray] | None = None  # rows of the last shingle that are not sent yet
+    sent = 0  # and how many are
+    for batch in itertools.chain(batches, (None,)):
+        if batch is None:
+            if held is None:
+                return
+            h, f, sp = held
+        else:
+            h, f, sp = _columns(batch, ("h", "f", "sp"))
+            if not len(h):
+                continue
+            if held is not None:
+                h, f, sp = (np.concatenate(x) for x in zip(held, (h, f, sp), strict=True))
+            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])))
+            h, f, sp = h[fresh], f[fresh], sp[fresh]
+        start, size = _bounds(h)
+        total = size.copy()
+        total[0] += sent
+        stop = len(h)
+        if batch is not None:
+            stop = len(h) - 1 if total[-1] > SMALL else int(start[-1])
+            held = [x[stop:] for x in (h, f, sp)]
+            sent = int(total[-1]) - (len(h) - stop)
+        count = np.repeat(total, size)[:stop]
+        mark = count > 1
         if mark.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[mark]) for x in (h, f, sp)], names=list(names))
-    if last is not None and last[3]:
-        yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in last[:3]], names=list(names))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:stop][mark]) for x in (h, f, sp)), pa.array(count[mark] > SMALL)], names=["h", "f", "sp", "large"])
 
 
 def fits(sp1: np.ndarray, sp2: np.ndarray) -> np.ndarray:
@@ -261,8 +286,12 @@ def fits(sp1: np.ndarray, sp2: np.ndarray) -> np.ndarray:
     return (DEN * small >= NUM * np.maximum(a, b)) & (at < index_prefix(small)) & (1 + np.minimum(a - i, b - j) - 1 >= need(a, b))
 
 
-def _pairs(f: np.ndarray, sp: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch | None:
+def _pairs(f: np.ndarray, sp: np.ndarray, x: np.ndarray, y: np.ndarray, odd: np.ndarray | None = None) -> pa.RecordBatch | None:
     ok = fits(sp[x], sp[y]) & (f[x] != f[y])
+    if odd is not None:
+        x, y = x[ok], y[ok]
+        a, b = sp[x] >> 31, sp[y] >> 31
+        ok = np.bitwise_count((odd[x] ^ odd[y]).view(np.uint64)).sum(1, dtype=np.int64) <= a + b - 2 * need(a, b)
     if not ok.any():
         return None
     p, q = f[x[ok]], f[y[ok]]
@@ -310,24 +339,36 @@ def _first_round(batches):
             yield got
 
 
-def _second_round(batches):
-    """In large buckets, the pairs whose classes are in different components."""
-    for h, c, f, sp in _runs(batches, ("h", "c", "f", "sp")):
-        for s, n in zip(*_bounds(h), strict=True):
-            if n <= SMALL or c[s] == c[s + n - 1]:  # sorted by component
-                continue
-            end = s + n
-            rows = np.arange(s, end)
-            after = s + np.searchsorted(c[s:end], c[s:end], "right")  # first row of a later component
-            each = end - after
-            for lo in range(0, n, 1 + 500_000 // n):
-                part = slice(lo, lo + 1 + 500_000 // n)
-                x = np.repeat(rows[part], each[part])
-                if not len(x):
+def _later_round(centres: int | None):
+    """In large buckets, the pairs whose classes are in different components and whose parities
+    let them link: all, or those with one of so many centres, which are the smallest f."""
+
+    def make(batches):
+        for h, c, f, sp, odd in _runs(batches, ("h", "c", "f", "sp", "odd")):
+            for s, n in zip(*_bounds(h), strict=True):
+                if n <= SMALL or c[s] == c[s + n - 1]:  # sorted by component
+                    continue
+                end = s + n
+                if centres is not None:
+                    first = s + np.argpartition(f[s:end], min(centres, n) - 1)[:centres]
+                    y = np.arange(s, end)
+                    for lo in first:
+                        if (got := _pairs(f, sp, np.full(n, lo)[c[s:end] != c[lo]], y[c[s:end] != c[lo]], odd)) is not None:
+                            yield got
                     continue
-                y = np.arange(len(x)) - np.repeat(np.cumsum(each[part]) - each[part], each[part]) + np.repeat(after[part], each[part])
-                if (got := _pairs(f, sp, x, y)) is not None:
-                    yield got
+                rows = np.arange(s, end)
+                after = s + np.searchsorted(c[s:end], c[s:end], "right")  # first row of a later component
+                each = end - after
+                for lo in range(0, n, 1 + 500_000 // n):
+                    part = slice(lo, lo + 1 + 500_000 // n)
+                    x = np.repeat(rows[part], each[part])
+                    if not len(x):
+                        continue
+                    y = np.arange(len(x)) - np.repeat(np.cumsum(each[part]) - each[part], each[part]) + np.repeat(after[part], each[part])
+                    if (got := _pairs(f, sp, x, y, odd)) is not None:
+                        yield got
+
+    return make
 
 
 def _sets(wanted):
@@ -448,19 +489,27 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     rank = spark.sparkContext.broadcast((np.log2(counts.astype(np.float64) + 1) * 2000).astype(np.uint16))
 
     posted = docs.mapInArrow(_postings(rank), "h long, f long, sp long")
-    shared = scratch.save("shared", posted.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_shared, "h long, f long, sp long"))
+    shared = scratch.save("shared", posted.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_shared, "h long, f long, sp long, large boolean"))
     pairs = scratch.save("pairs", shared.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_first_round, "f1 long, f2 long").distinct())
     links = cut(_linked(docs, pairs))
     labels = _components(links)
 
-    label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
-    named = shared.join(label, "f", "left").select("h", F.coalesce("c", "f").alias("c"), "f", "sp")
-    rest = named.repartition("h").sortWithinPartitions("h", "c", "f").mapInArrow(_second_round, "f1 long, f2 long").distinct()
-    rest = cut(rest.join(pairs, ["f1", "f2"], "left_anti"))
-    if not rest.isEmpty():
-        more = cut(_linked(docs, rest))
-        labels = _components(links.unionByName(more))
+    large, seen = shared.where("large").drop("large"), pairs
+    for k, centres in enumerate((CENTRES, None)):
         label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
+        named = large.join(label, "f", "left").select("h", F.coalesce("c", "f").alias("c"), "f", "sp")
+        mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        named = scratch.save(f"mixed{k}", named.join(mixed, "h", "left_semi"))
+        odd = survey.where("n > 0").select("f", "odd").join(named.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.first("odd").alias("odd"))
+        rest = named.join(odd, "f").repartition("h").sortWithinPartitions("h", "c", "f").mapInArrow(_later_round(centres), "f1 long, f2 long").distinct()
+        rest = cut(rest.join(seen, ["f1", "f2"], "left_anti"))
+        scratch.drop(f"mixed{k}")
+        if rest.isEmpty():
+            continue
+        links = cut(links.unionByName(_linked(docs, rest)))
+        labels = _components(links)
+        seen = seen.unionByName(rest)
+    label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
     scratch.drop("shared")
     scratch.drop("pairs")
 
