@@ -109,3 +109,33 @@ def test_csr_and_ordinal(e1):
 def test_verification_sees_both_sides(spark):
     a, b = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "id long, level long"), spark.createDataFrame([(1, 2), (2, 9), (3, 1)], "id long, level long")
     assert {r.id: r.status for r in verify.verify_exact(a, b, "level").collect()} == {0: "extra", 1: "ok", 2: "wrong", 3: "missing"}
+
+
+def test_paths_of_whole_components(spark):
+    """A path, a path with leaves (the largest, no id under 40) and a small cycle."""
+    edges = [(i, i + 1) for i in range(9)] + [(1000 + i, 1001 + i) for i in range(7)] + [(1000 + i, 1100 + 16 * i + j) for i in range(8) for j in range(15)] + [(500, 501), (501, 502), (502, 500), (7, 7)]
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def levels(root):
+        out, todo = {root: 0}, [root]
+        for v in todo:
+            for w in near[v] - out.keys():
+                out[w] = out[v] + 1
+                todo.append(w)
+        return out
+
+    df = spark.createDataFrame([(a, b, 1) for a, b in edges], "src long, dst long, weight long")
+    assert {tuple(r) for r in fixpoint.largest_diameters(df).collect()} == {(0, 10, 9), (1000, 128, 9), (500, 3, 1)}
+    all_ = [k for v in near for k in levels(v).values() if k]
+    got = fixpoint.average_path(df).first()
+    assert got.pairs == len(all_) and abs(got.average - sum(all_) / len(all_)) < 1e-9
+    big = sorted(v for v in near if v >= 1000)
+    ends = [k for v in big[:50] + big[-50:] for k in levels(v).values() if k]
+    assert {r.level: r.pairs for r in fixpoint.path_distribution(df).collect()} == {k: ends.count(k) for k in set(ends)}
+    few = fixpoint.path_distribution(df.where("src between 500 and 502")).collect()
+    assert [tuple(r) for r in few] == [(1, 6)]
+    blocks = {tuple(r) for r in fixpoint.source_counts(df.where("src < 9"), spark.range(10), block=8).collect()}
+    assert blocks == {tuple(r) for r in fixpoint.source_counts(df.where("src < 9"), spark.range(10)).collect()}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .graph import symmetrize, undirected_pairs
+from .graph import ordinal, symmetrize, undirected_pairs, vertices_of
 from .program import by_source, vertex_program
 
 #: What stands for "not reached" in results that list all vertices.
@@ -163,6 +163,61 @@ def diameter(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return found.join(sources.select(F.col("id").alias("source"), "component"), "source").groupBy("component").agg(F.max("level").alias("diameter"))
 
 
+def source_counts(edges: DataFrame, sources: DataFrame, block: int = 4_096) -> DataFrame:
+    """(id, level, sources): how many of the sources (id) lie at that level, 1 or more, from
+    the vertex, ignoring direction. A row of a round holds 64 sources as bits of a long,
+    so all pairs take n * n / 64 rows; block sources go through one loop."""
+    spark = edges.sparkSession
+    links = by_source(symmetrize(edges.select("src", "dst").where("src != dst")).distinct())
+    placed = cut(ordinal(sources.select("id").distinct(), ["id"], "place"))
+    parts: list[DataFrame] = []
+    try:
+        for begin in range(0, placed.count(), block):
+            own = placed.where((F.col("place") >= begin) & (F.col("place") < begin + block))
+            bit = F.expr("shiftleft(cast(1 as bigint), cast(place % 64 as int))")
+            frontier = seen = cut(own.select("id", F.floor(F.col("place") / 64).alias("word"), bit.alias("bits")))
+            level = 0
+            while True:
+                level += 1
+                sent = links.join(frontier.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("sent"))
+                old = F.coalesce("bits", F.lit(0).cast("long"))
+                both = cut(seen.join(sent, ["id", "word"], "full").select("id", "word", old.alias("old"), F.coalesce("sent", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(old)).alias("new")))
+                frontier = both.where("new != 0").select("id", "word", F.col("new").alias("bits"))
+                if frontier.isEmpty():
+                    break
+                seen = both.select("id", "word", F.col("old").bitwiseOR(F.col("new")).alias("bits"))
+                parts.append(cut(frontier.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("sources")).select("id", F.lit(level).cast("long").alias("level"), "sources")))
+    finally:
+        links.unpersist()
+    if not parts:
+        return spark.createDataFrame([], "id long, level long, sources long")
+    return reduce(DataFrame.unionByName, parts).groupBy("id", "level").agg(F.sum("sources").alias("sources"))
+
+
+def largest_diameters(edges: DataFrame, top: int = 5) -> DataFrame:
+    """(component, size, diameter): the exact diameter of each of the largest components."""
+    found = cut(components(edges, vertices_of(edges)))
+    largest = F.broadcast(component_sizes(found, top).select("component", "size"))
+    own = cut(found.join(largest, "component").select("id", "component", "size"))
+    far = source_counts(edges, own).groupBy("id").agg(F.max("level").alias("level"))
+    return own.join(far, "id", "left").groupBy("component", "size").agg(F.coalesce(F.max("level"), F.lit(0).cast("long")).alias("diameter"))
+
+
+def average_path(edges: DataFrame) -> DataFrame:
+    """(average, pairs) over all ordered pairs of different, connected vertices."""
+    levels = source_counts(edges, vertices_of(edges))
+    return levels.agg((F.sum(F.col("level") * F.col("sources")) / F.sum("sources")).alias("average"), F.coalesce(F.sum("sources"), F.lit(0).cast("long")).alias("pairs"))
+
+
+def path_distribution(edges: DataFrame, k: int = 50) -> DataFrame:
+    """(level, pairs) over pairs of different vertices of the largest component: from all
+    its vertices up to 2 k, else from its first and its last k by id."""
+    found = cut(components(edges, vertices_of(edges)))
+    own = ordinal(found.join(F.broadcast(component_sizes(found, 1).select("component")), "component").select("id"), ["id"], "place")
+    n = own.count()
+    return source_counts(edges, own.where((F.col("place") < k) | (F.col("place") >= n - k))).groupBy("level").agg(F.sum("sources").alias("pairs"))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c) with a < b < c, each triangle once. Edges point from lower to higher
     degree, so no list of candidates is longer than the square root of twice the edges."""

@@ -205,6 +205,25 @@ def gq20_path_distribution(spark, d):
     return fixpoint.path_lengths(edges, graph.first_and_last(ids, n, 20)).groupBy("level").agg(F.count("*").alias("pairs"))
 
 
+# gq17, gq19 and gq20 start from a few ids, as their SQL does; these three do the whole job
+# and have no SQL.
+
+
+@query
+def gq21_diameters_whole(spark, d):
+    return fixpoint.largest_diameters(views.user_pairs(spark, d))
+
+
+@query
+def gq22_average_path_whole(spark, d):
+    return _round(fixpoint.average_path(views.user_pairs(spark, d)), "average")
+
+
+@query
+def gq23_path_distribution_whole(spark, d):
+    return fixpoint.path_distribution(views.user_pairs(spark, d))
+
+
 # joins
 
 
