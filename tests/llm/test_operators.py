@@ -160,6 +160,30 @@ def test_rates_equal_brute_force(spark):
     assert np.allclose(got, r, atol=1e-6)
 
 
+@pytest.mark.parametrize("shares", [(0.1, 0.3, 0.6), (0.1, 0.8, 0.1), (0.05, 0.5, 0.45), (0.001, 0.001, 0.998), None])
+def test_skewed_mixtures_settle(spark, shares):
+    """Against coordinate descent on the same squared difference, which shares nothing with the fit but the measure."""
+    rng = np.random.default_rng(8)
+    size = 400
+    n = rng.integers(1, 500, size)
+    p = np.full((size, 3), 1 / 3) if shares is None else np.stack([rng.dirichlet(np.where(np.arange(3) == d, 3.0, 0.1)) for d in rng.choice(3, size, p=shares)])
+    target = np.array([0.8, 0.15, 0.05])
+    gram = (p * n[:, None]).T @ p / n.sum()
+    inverse = np.linalg.pinv(gram, rcond=1e-9)
+    off = lambda r: (target - (r * n) @ p / n.sum()) @ inverse @ (target - (r * n) @ p / n.sum())
+    r, gap = np.ones(size), target - n @ p / n.sum()
+    for _ in range(300):
+        for i in range(size):
+            a = p[i] * n[i] / n.sum()
+            new = max(0.0, r[i] + a @ inverse @ gap / (a @ inverse @ a))
+            gap = gap - a * (new - r[i])
+            r[i] = new
+    soft = spark.createDataFrame([(i, int(k), *map(float, x), 1.0) for i, (k, x) in enumerate(zip(n, p, strict=True))], "doc_id long, n_tokens long, p_clean double, p_rough double, p_toxic double, rate double")
+    goals = dict(zip(op4_mixing.DOMAINS, target, strict=True))
+    got = op4_mixing.settle_rates(op4_mixing.fit_rates(soft.drop("rate"), goals), goals).orderBy("doc_id").toPandas().rate.to_numpy()
+    assert (got >= 0).all() and off(got) <= off(r) + 1e-9
+
+
 def test_language(spark, docs, none):
     words = {"en": "the of and that with this from have were".split(), "de": "der die und nicht mit auch für werden über".split()}
     rows = [(i, " ".join(np.random.Generator(np.random.PCG64(i)).choice(words[lang], 40)), lang, "a") for i in range(60) for lang in [("en", "de")[i % 2]]]

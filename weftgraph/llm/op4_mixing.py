@@ -13,6 +13,12 @@ step is of length one over the Lipschitz constant and never makes the fit worse;
 rates meet are approached in least squares. A step needs one aggregation of as many numbers as there are domains; r is
 recomputed from the steps, so nothing is collected and nothing is written between.
 
+These steps get short once many rates are 0, so after STEPS of them the fit goes on in proximal
+steps (settle_rates): from checkpointed rates r0, the r that minimises the squared difference plus
+PROXIMAL / 2 times the squared move is r = max(0, r0 + p . y), and y comes from Newton steps with the Gram
+matrix of the documents of rate > 0 and a line search, each one aggregation. It ends when the
+projected gradient is under SETTLED, and raises if it does not get there.
+
 Documents without words have no tokens and keep rate 1. Null text has no words. Rows
 without labels are mixed like all others; labels with null id or null marks are ignored; without
 any labels posteriors are uniform. Repeated rows are documents of their own. An empty
@@ -40,6 +46,12 @@ TELLING = 60
 BINS = 12
 STEPS = 40
 TOLERANCE = 1e-9
+#: Of settle_rates: tokens that one more plain step would move, as a share of all; weight of the move.
+SETTLED = 1e-8
+PROXIMAL = 1e-6
+ROUNDS = 60
+NEWTON = 60
+LENGTHS = 24
 
 
 def measures(text: Column) -> list[Column]:
@@ -157,8 +169,63 @@ def fit_rates(soft: DataFrame, target: dict[str, float] | None = None) -> DataFr
     return soft.withColumn("rate", F.when(n > 0, _rate(steps)).otherwise(1.0))
 
 
+def settle_rates(soft: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
+    """soft (with n_tokens, p_<domain> and a first rate) with the rate at which the squared
+    difference to the targets is least."""
+    target = target or TARGET
+    size = len(DOMAINS)
+    columns = soft.columns
+    n, p = F.col("n_tokens").cast("double"), [F.col(f"p_{d}") for d in DOMAINS]
+    dot = lambda y: sum((float(y[i]) * p[i] for i in range(size)), F.lit(0.0))
+    moved = lambda y: F.greatest(F.lit(0.0), F.col("rate") + dot(y))
+
+    def totals(found: DataFrame, sums: list[Column]) -> np.ndarray:
+        return np.array([float(x or 0) for x in found.where(n > 0).agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(sums)]).first()])
+
+    found = cut(soft)
+    first = totals(found, [n * p[i] * p[j] for i in range(size) for j in range(size)] + [n])
+    gram, total = first[:-1].reshape(size, size), first[-1]
+    if total == 0:
+        return found
+    values, vectors = np.linalg.eigh(gram / total)
+    live = values > 1e-9 * values.max()  # directions in which no document has tokens can not be met
+    span, inverse = vectors[:, live], vectors[:, live] / values[live] @ vectors[:, live].T
+    flat = span @ span.T
+    goal = flat @ np.array([target[d] for d in DOMAINS])
+    scaled = flat @ (gram / total) @ flat
+    for _ in range(ROUNDS):
+        have = totals(found, [F.col("rate") * n * a for a in p]) / total
+        step = inverse @ (goal - have)
+        if totals(found, [n * F.abs(moved(step) - F.col("rate"))])[0] <= SETTLED * total:
+            return found
+        # least of sum(n r(y)^2) / 2 - goal . y + PROXIMAL y . gram . y / 2, convex in y; each call judges several y at once
+        y = np.zeros(size)
+        for _ in range(NEWTON):
+            r = moved(y)
+            on = F.when(r > 0, n).otherwise(0.0)
+            got = totals(found, [r * n * a for a in p] + [on * p[i] * p[j] for i in range(size) for j in range(size)]) / total
+            slope = flat @ (got[:size] - goal) + PROXIMAL * scaled @ y
+            if np.sqrt(max(0.0, slope @ inverse @ slope)) <= 1e-3 * SETTLED:
+                break
+            bend = span.T @ (got[size:].reshape(size, size) + PROXIMAL * scaled) @ span
+            way = -span @ np.linalg.solve(bend, span.T @ slope)
+            lengths = [2.0**-k for k in range(LENGTHS)]
+            ahead = [y + a * way for a in lengths]
+            own = totals(found, [n * sum((float(way[i]) * p[i] for i in range(size)), F.lit(0.0)) * moved(x) for x in ahead]) / total
+            rise = [v - goal @ way + PROXIMAL * (scaled @ x) @ way for v, x in zip(own, ahead, strict=True)]
+            # the slope along the way grows with the length: the longest one at which it has not turned, or the one with the least slope
+            k = next((i for i, v in enumerate(rise) if v <= 0), LENGTHS - 1)
+            if k and abs(rise[k - 1]) < abs(rise[k]):
+                k -= 1
+            if np.abs(ahead[k] - y).max() <= 1e-14 * max(1.0, np.abs(y).max()):
+                break
+            y = ahead[k]
+        found = cut(found.withColumn("rate", F.when(n > 0, moved(y)).otherwise(F.col("rate"))).select(*columns))
+    raise RuntimeError(f"rates did not settle in {ROUNDS} rounds")
+
+
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, domain (the likeliest) and rate for each row of docs."""
     soft = cut(memberships(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels), "doc_id"))
     likeliest = F.coalesce(*[F.when(F.col(f"p_{d}") >= F.greatest(*[f"p_{e}" for e in DOMAINS]), d) for d in DOMAINS])
-    return fit_rates(soft, target).withColumn("domain", likeliest)
+    return settle_rates(fit_rates(soft, target), target).withColumn("domain", likeliest)
