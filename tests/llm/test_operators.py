@@ -282,3 +282,25 @@ def test_secrets(spark, none):
     model = op10_secrets.train()
     assert model["recall"] >= op10_secrets.RECALL and model["false"] < 0.1
     assert op10_secrets.scan_secrets(none).count() == 0
+
+
+def test_secrets_inside_long_runs(spark):
+    path = "//shop.example.com/v1/accounts/%s/charges/list/of/all/open/items"
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    keys = ["".join(rng.choice(letters, 32)) for _ in range(60)]
+    plain = ["-".join(rng.choice(VOCABULARY, 5)) + "22" for _ in range(60)]
+    rows = [(i, f"see http:{path % x} for more", "en", "a") for i, x in enumerate(keys + plain)]
+    got = {r.doc_id: r.spans for r in op10_secrets.scan_secrets(frame(spark, rows)).collect()}
+    # with the ends of the run alone none is found
+    assert sum(got[i] == f"net:9:{len(rows[i][1]) - 9}" for i in range(60)) >= 30 and not any(got[i] for i in range(60, 120))
+    # base spans are cut out, what stands on either side remains
+    hexa = "0123456789abcdef" * 2
+    text = f"a {keys[0]}.{hexa}_{keys[1]} b"
+    assert op10_secrets.candidates(text, op10_secrets.base_spans(text)) == [(2, 35), (67, 100)]
+    assert op10_secrets.candidates(f"{hexa} {keys[0]}", [(0, 2, 32)]) == [(33, 65)]
+    whole = set()
+    for a, b in op10_secrets.readings(3, 1000):
+        assert b - a == op10_secrets.BODY
+        whole |= set(range(a, b))
+    assert whole == set(range(3, 1000))
