@@ -197,6 +197,23 @@ def test_language(spark, docs, none):
     assert op5_language.predict(none, op5_language.fit(none)).count() == 0
 
 
+def test_language_that_can_not_be_told(spark):
+    rng = np.random.Generator(np.random.PCG64(12))
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    make = lambda k: ["".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(k)]
+    spoken = {lang: make(120) for lang in ("aa", "bb", "cc", "unknown")}
+    text = lambda lang, k: " ".join(rng.choice(spoken[lang], k))
+    model = op5_language.fit(frame(spark, [(i, text(lang, 80), lang, "a") for i in range(180) for lang in [("aa", "bb", "cc")[i % 3]]]))
+    assert model.least > 0
+    told = [(i, text(("aa", "bb", "cc")[i % 3], (40, 300)[i % 2]), None, "a") for i in range(30)]
+    rest = [text("unknown", 300), text("unknown", 30), " ".join(make(400)), "".join(rng.choice(letters, 3000)), "qqq", "x", spoken["unknown"][0], text("unknown", 2000)]
+    got = {r.doc_id: r for r in op5_language.predict(frame(spark, told + [(100 + i, t, None, "a") for i, t in enumerate(rest)]), model).collect()}
+    assert all(not got[i].rejected and got[i].lang_pred == ("aa", "bb", "cc")[i % 3] for i in range(30))
+    assert [i for i in range(len(rest)) if not got[100 + i].rejected] == []
+    same = op5_language.Model({"aa": model["aa"], "bb": model["aa"]})
+    assert all(r.rejected and r.margin == 0 for r in op5_language.predict(frame(spark, told), same).collect())
+
+
 def test_neighbours_equal_brute_force(spark):
     v = RNG.normal(size=(300, 16)).astype(np.float32)
     v[7] = v[0]
