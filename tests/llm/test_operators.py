@@ -280,6 +280,21 @@ def test_toxicity_learns(spark, none):
     assert op8_toxicity.score(none, op8_toxicity.fit(none, labels)).count() == 0
 
 
+def test_toxicity_learns_rare_insults(spark):
+    """An insult that 1 % of the toxic texts have, beside common ones and words that are in all texts."""
+    rng = np.random.default_rng(5)
+    rows, marks = [], []
+    for i in range(4000):
+        toxic = i < 2000
+        insult = "zwackel" if i < 20 else ("scumbag", "dorkface")[i % 2] if toxic else ""
+        rows.append((i, " ".join([*rng.choice(VOCABULARY, 12), insult, *rng.choice(VOCABULARY, 6)]), "en", "a"))
+        marks.append((i, 1, int(toxic)))
+    stems, _ = op8_toxicity.fit(frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert all(any(w.startswith(s) for s in stems) for w in ("zwackel", "scumbag", "dorkface"))
+    assert not any(v.startswith(s) for v in VOCABULARY for s in stems)
+    assert op8_toxicity.least_ratio(1) == op8_toxicity.CHANCE < op8_toxicity.least_ratio(10**6) < op8_toxicity.least_ratio(10**9)
+
+
 def test_lines(spark, none):
     rows = [(i, f"own {i}\n  Menu \n\nown line {i}", "en", "s") for i in range(20)] + [(50, "Menu", "en", "t"), (51, None, "en", "s"), (52, "", "en", None), (53, "Menu", "en", "s"), *[(60 + k, "copied\ntext", "en", "s") for k in range(9)]]
     d = frame(spark, rows)

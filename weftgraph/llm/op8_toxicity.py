@@ -11,15 +11,18 @@ matched clause it scores the share of toxic rows among such texts.
 
 Stems and weights are learned from a bounded sample of labelled rows, at most
 SAMPLE_TOXIC and SAMPLE_CLEAN, chosen by a hash of doc_id; of sampled texts with the same min-hash (copies)
-one counts. A stem is the beginning of a word, STEM letters or more, that a share SUPPORT
-of the sampled toxic texts have, clean ones almost never, and not by chance (a
-likelihood ratio of CHANCE). Without labels only the fixed word lists apply, with
+one counts. A stem is the beginning of a word, STEM letters or more, that MIN_DOCS or more
+of the sampled toxic texts have, clean ones almost never, and not by chance: the likelihood ratio is CHANCE
+or more, and so large that among all terms tried RANDOM one is to be expected by chance. No share of the
+toxic texts is asked for, so rare insults are learned as soon as there is evidence. Texts in which the same words stand on both
+sides of a stem, as in near copies, are evidence once. Without labels only the fixed word lists apply, with
 FALLBACK weights. Null and empty texts score as texts without a match. Each row gives one
 row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pyarrow as pa
@@ -34,8 +37,9 @@ SAMPLE_CLEAN = 20_000
 SAMPLE_CHARS = 50_000
 STEM = (4, 8)
 MIN_DOCS = 4
-SUPPORT = 0.04
 CHANCE = 24.0
+RANDOM = 0.01
+NEAR = 3
 PURE = 0.9
 MAX_STEMS = 2_000
 REACH = 3
@@ -124,6 +128,16 @@ def _terms(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[x] for x in names], pa.int64()), pa.array([clean[x] for x in names], pa.int64())], names=["term", "a", "b"])
 
 
+def least_ratio(terms: int) -> float:
+    """The likelihood ratio that, by chance (chi-square, one degree of freedom), RANDOM of so many terms reach."""
+    wanted = RANDOM / max(1, terms)
+    low, high = 0.0, 1_000.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) > wanted else (low, mid)
+    return max(CHANCE, high)
+
+
 def _pick(rows) -> list[str]:
     """Short stems first; a longer one is left out if its beginning is in."""
     chosen: set[str] = set()
@@ -133,6 +147,27 @@ def _pick(rows) -> list[str]:
     return sorted(chosen)
 
 
+def _contexts(terms):
+    """(term, before, after): the NEAR words on each side of a term's first place in each toxic text."""
+
+    def run(batches):
+        own = terms.value
+        for batch in batches:
+            rows = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                if not label:
+                    continue
+                ws, seen = _WORD.findall(text.lower()), set()
+                for i, w in enumerate(ws):
+                    for k in range(STEM[0], min(len(w), STEM[1]) + 1):
+                        if (t := w[:k]) in own and t not in seen:
+                            seen.add(t)
+                            rows.append((t, " ".join(ws[max(0, i - NEAR) : i]), " ".join(ws[i + 1 : i + 1 + NEAR])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.string()) for j in range(3)], names=["term", "before", "after"])
+
+    return run
+
+
 def _single(grammar):
     """(stem, toxic) of the texts with exactly one of the stems."""
 
@@ -187,9 +222,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], dict[str, float]
     ta, tb = float(each[1]), float(max(1, each.get(0, 0)))
     both = F.col("a") + F.col("b")
     ratio = 2 * (F.col("a") * F.log(F.col("a") / (both * ta / (ta + tb))) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (both * tb / (ta + tb)))).otherwise(0.0))
-    totals = terms.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    pure = totals.where((F.col("a") >= max(MIN_DOCS, SUPPORT * ta)) & (F.col("b") <= 0.02 * F.col("a")) & (F.col("a") / ta >= PURE * (F.col("a") / ta + F.col("b") / tb)) & (ratio >= CHANCE))
-    stems = _pick(pure.orderBy(F.desc("a"), "term").limit(20_000).collect())
+    totals = cut(terms.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    needed = least_ratio(totals.count())
+    evident = (F.col("a") >= MIN_DOCS) & (F.col("b") <= 0.02 * F.col("a")) & (F.col("a") / ta >= PURE * (F.col("a") / ta + F.col("b") / tb)) & (ratio >= needed)
+    pure = cut(totals.where(evident).orderBy(F.desc("a"), "term").limit(20_000))
+    names = spark.sparkContext.broadcast(frozenset(r.term for r in pure.select("term").collect()))
+    # one side at least differs where texts differ; an insult may stand in a fixed phrase on the other
+    apart = different.mapInArrow(_contexts(names), "term string, before string, after string").groupBy("term").agg(F.greatest(F.countDistinct("before"), F.countDistinct("after")).alias("places"))
+    pure = pure.join(apart, "term").withColumn("a", F.least("a", "places")).where(evident)
+    stems = _pick(pure.collect())
     # where a stem is the only one of a text, clean texts must not outweigh toxic ones
     alone = different.mapInArrow(_single(spark.sparkContext.broadcast((stems, dict(FALLBACK)))), "stem string, toxic int").groupBy("stem", "toxic").count().collect()
     single = {(r.stem, r.toxic): r["count"] for r in alone}
