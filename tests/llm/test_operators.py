@@ -131,6 +131,14 @@ def test_urls_follow_links(spark):
     assert op3_urls.judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_urls_of_all_links(spark):
+    page = "http://h.com/a/b/c.html?z=1"
+    want = {"page2.html": "http://h.com/a/b/page2.html", "../x": "http://h.com/a/x", "?p=2": "http://h.com/a/b/c.html?p=2", "./": "http://h.com/a/b/", "../../../y?q=../r": "http://h.com/y?q=../r", "/m/../n": "http://h.com/n", "//o.com/1": "http://o.com/1", "https://o.com/2": "https://o.com/2", "go?u=http://o.com/": "http://h.com/a/b/go?u=http://o.com/"}
+    html = "".join(f'<link rel="canonical" href="{t}">' for t in [*want, "#top", "mailto:x@h.com"]) + '<meta content="0; url=/late" http-equiv="refresh">'
+    got = op3_urls.link_edges(spark.createDataFrame([(page, html), ("http://k.net", '<link href="s" rel="canonical">')], "url string, html string")).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted([*((page, u) for u in want.values()), (page, "http://h.com/late"), ("http://k.net", "http://k.net/s")])
+
+
 def test_mixing_meets_targets(spark, docs, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (10, 1, 1), (11, 0, 0), (12, 1, 0), (None, 1, 1), (13, None, 0)], "doc_id long, quality int, toxic int")
     got = op4_mixing.mix(docs, labels, {"clean": 0.5, "rough": 0.3, "toxic": 0.2}).toPandas()

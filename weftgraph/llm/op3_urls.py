@@ -23,7 +23,7 @@ from .common import connected_components, cut, lower_ascii
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 _Q = "[\"']?"
 _CANONICAL = [rf"(?is)<link\b[^>]*\brel={_Q}canonical\b[^>]*\bhref={_Q}([^\"'>\s]+)", rf"(?is)<link\b[^>]*\bhref={_Q}([^\"'>\s]+)[^>]*\brel={_Q}canonical\b"]
-_REFRESH = rf"(?is)<meta\b[^>]*\bhttp-equiv={_Q}refresh\b[^>]*\burl={_Q}([^\"'>\s]+)"
+_REFRESH = [rf"(?is)<meta\b[^>]*\bhttp-equiv={_Q}refresh\b[^>]*\burl={_Q}([^\"'>\s]+)", rf"(?is)<meta\b[^>]*\burl={_Q}([^\"'>\s]+)[^>]*\bhttp-equiv={_Q}refresh\b"]
 
 
 def host(url: Column) -> Column:
@@ -50,14 +50,35 @@ def rule(url: Column, rules=RULES) -> tuple[Column, Column]:
     return (F.lit(None).cast("string"),) * 2 if name is None else (name, verdict)
 
 
+def _without_dots(path: Column) -> Column:
+    """path with its . and .. segments resolved."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    rest = F.aggregate(F.split(F.regexp_replace(path, "^/", ""), "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(rest, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(rest) > 0), "/").otherwise(""))
+
+
+def resolve(url: Column, target: Column) -> Column:
+    """The URL that target names on the page url; null for other schemes and places in the page."""
+    scheme = F.regexp_extract(url, r"^([^:/?#]*):", 1)
+    root = F.when(host(url) != "", F.concat(scheme, F.lit("://"), host(url)))
+    own, rest = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path(url).contains("/"), F.regexp_extract(path(url), r"(?s)^(.*/)", 1)).otherwise("/")
+    return (
+        F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None))
+        .when(target.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(root, path(url), target))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
     """(source URL, target URL) of the canonical links and refresh redirects of pages."""
     html, url = F.col("html"), F.col("url")
-    target = [F.regexp_extract(html, x, 1) for x in (*_CANONICAL, _REFRESH)]
-    marked = pages.where(html.rlike(r"(?i)canonical|refresh")).select(url.alias("a"), F.explode(F.array(*target)).alias("t"))
-    scheme = F.regexp_extract("a", r"^([^:/?#]*):", 1)
-    whole = F.when(F.col("t").startswith("//"), F.concat(scheme, F.lit(":"), "t")).when(F.col("t").startswith("/"), F.concat(scheme, F.lit("://"), host(F.col("a")), "t")).when(F.col("t").contains("://"), F.col("t"))
-    return marked.where("t != ''").select("a", whole.alias("b")).where("b is not null")
+    target = [F.regexp_extract_all(html, F.lit(x), 1) for x in (*_CANONICAL, *_REFRESH)]
+    marked = pages.where(html.rlike(r"(?i)canonical|refresh")).select(url.alias("a"), F.explode(F.array_distinct(F.concat(*target))).alias("t"))
+    return marked.where("t != ''").select("a", resolve(F.col("a"), F.col("t")).alias("b")).where("b is not null")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
