@@ -50,6 +50,18 @@ def test_frames_round_trip(spark, tmp_path):
     assert rows(readers.read_frames(spark, f"{tmp_path}/f")) == rows(frames)
 
 
+def test_frames_of_several_splits(spark, tmp_path):
+    lines = [" ".join(str((c + k) % 12) for k in range(4)) + ", " + " ".join(["1"] * 4) for c in range(400)]
+    (tmp_path / "f").write_text("\n".join(["Cycles Dim_x Dim_y 400 2 4", "frames", *lines]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = readers.read_frames(spark, f"{tmp_path}/f").cache()
+        assert spark.read.text(f"{tmp_path}/f").rdd.getNumPartitions() > 2
+        assert sorted((r.cycle, r.col, r.code) for r in got.where("row = 0").collect()) == [(c, k, (c + k) % 12) for c in range(400) for k in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_statistics_sections(spark, tmp_path):
     activity = spark.createDataFrame([(0, 10.0, 0.0), (1, 20.0, 0.0)], "cycle long, cells double, htree double")
     cells = spark.createDataFrame([(0, "compute", 3), (1, "compute", 4)], "cc_id long, cc_type string, objects long")
@@ -62,11 +74,24 @@ def test_statistics_sections(spark, tmp_path):
 
 def test_generated_graphs(spark):
     er = generators.erdos_renyi(spark, 6, 4)
-    assert er.count() == 256 and er.where("src = dst").count() == 0 and rows(er) == rows(generators.erdos_renyi(spark, 6, 4))
+    assert er.count() == 256 and er.where("src = dst").count() == 0 and rows(er) == rows(generators.erdos_renyi(spark, 6, 4)) != rows(generators.erdos_renyi(spark, 6, 4, seed=5))
+    for scale, factor, directed in ((4, 14, True), (4, 15, True), (4, 7, False), (1, 1, True)):
+        got = generators.erdos_renyi(spark, scale, factor, directed).select("src", "dst")
+        assert got.count() == got.distinct().count() == (factor << scale) * (1 if directed else 2) and got.where("src = dst").count() == 0
     assert generators.rmat(spark, 6, 4).where("src between 0 and 63 and dst between 0 and 63 and weight between 1 and 5").count() == 256
     ws = generators.small_world(spark, 6, 4)
     assert rows(ws.select("src", "dst")) == rows(ws.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    assert generators.preferential(spark, 6, 3).select("src").distinct().count() > 50
+
+
+def test_preferential_attachment(spark):
+    ids = spark.range(1 << 11)
+    plain, closed = generators.preferential(spark, 11, 3), generators.preferential(spark, 11, 3, closing=0.4)
+    for g in (plain, closed):
+        assert g.count() == 2 * (3 + 3 * (2048 - 4)) and fixpoint.components(g, ids).where("component > 0").count() == 0
+        most = g.groupBy("src").count().agg(F.max("count")).first()[0]
+        assert most > 60  # by degree: a uniform choice gives at most about 25
+    found = [fixpoint.clustering(g, ids).agg(F.avg("coefficient")).first()[0] for g in (plain, closed)]
+    assert found[1] > 3 * found[0]
 
 
 def test_stream_replays_a_batch(spark, tmp_path):

@@ -186,13 +186,21 @@ def cell_area(memory: Column, network: str) -> Column:
     return memory / SRAM_BYTES_PER_M2 + router_transistors(network) / TRANSISTORS_PER_M2 + EXECUTION_UNIT_TRANSISTORS / TRANSISTORS_PER_M2
 
 
-def cost_model(network: str, cycles: Column, operons: Column, created: Column, performed: Column, dim: Column, memory: Column) -> tuple[Column, Column, Column]:
+def cost_model(
+    network: str, cycles: Column, operons: Column, created: Column, performed: Column, dim: Column, memory: Column, ruche_operons: Column | None = None
+) -> tuple[Column, Column, Column]:
     """Chip area in mm^2, energy in J and time in s of a run on a dim x dim chip whose cells
-    hold memory bytes. Ruche variants go RUCHE_LENGTH cells a step on long ways."""
+    hold memory bytes. On Ruche variants ruche_operons of the operons go over Ruche links, of RUCHE_LENGTH
+    cells on either network, and the others as without them; more than there are operons is an error."""
     area = cell_area(memory, network)
     side = F.sqrt(area)
-    step = {"MESH": side, "TORUS": 2 * (dim - 1) * side / dim, "RUCHE": side * RUCHE_LENGTH, "RUCHE_TORUS": 2 * (dim - 1) * side * RUCHE_LENGTH / dim}[network]
-    moving = operons * step * FLIT_BITS * MESSAGE_J_PER_BIT_M
+    step = 2 * (dim - 1) * side / dim if network.endswith("TORUS") else side
+    per_metre = FLIT_BITS * MESSAGE_J_PER_BIT_M
+    moving = operons * step * per_metre
+    if network.startswith("RUCHE"):
+        over = F.lit(0.0) if ruche_operons is None else ruche_operons
+        far = (operons - over) * step * per_metre + over * side * RUCHE_LENGTH * per_metre
+        moving = F.when(over > operons, F.raise_error(F.lit("more operons over Ruche links than in all"))).otherwise(far)
     words = WORD_BITS / 8
     access = created * PAYLOAD_BYTES / words * SRAM_READ_J + performed * ACTION_BYTES / words * SRAM_WRITE_J
     time = cycles / CLOCK_HZ

@@ -6,6 +6,8 @@ its frontier); asynchronous counts depend on timing and are not reproduced.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,19 @@ def message_stats(edges: DataFrame, levels: DataFrame) -> DataFrame:
     return j.select("round", "created", done.alias("performed"), (F.col("created") - done).alias("false_on_predicate"), done.alias("diffusions"))
 
 
+def diffusion_stats(edges: DataFrame, root: int) -> DataFrame:
+    """By round (from 1) of a shortest-path search: diffusions created (vertices whose distance fell),
+    and how many of them superseded an earlier diffusion of the same vertex, which is thereby pruned."""
+    seen: list[DataFrame] = []
+    from .fixpoint import sssp
+
+    sssp(edges, root, on_round=lambda k, before, better: seen.append(better.select("id", F.lit(k).cast("long").alias("round"))))
+    each = reduce(DataFrame.unionByName, seen)
+    first = each.groupBy("id").agg(F.min("round").alias("first"))
+    late = F.when(F.col("id") == root, True).otherwise(F.col("round") > F.col("first"))
+    return each.join(first, "id").groupBy("round").agg(F.count("*").alias("created"), F.sum(late.cast("long")).alias("pruned"))
+
+
 def hop_total(edges: DataFrame, placed: DataFrame, dim_x: int, dim_y: int, network: str) -> DataFrame:
     """One row: messages along all edges and the network steps they take."""
     a = placed.select(F.col("id").alias("src"), F.col("cc_id").alias("c1"))

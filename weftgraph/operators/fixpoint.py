@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut
 from .graph import ordinal, symmetrize, undirected_pairs, vertices_of
-from .program import by_source, vertex_program
+from .program import Links, fixed_plans, keys, partitions, vertex_program
 
 #: What stands for "not reached" in results that list all vertices.
 UNREACHED = 999_999
 
 
 def _seed(edges: DataFrame, root: int) -> DataFrame:
-    return edges.sparkSession.range(1).select(F.lit(root).cast("long").alias("id"), F.lit(0).cast("long").alias("value"))
+    return edges.sparkSession.range(root, root + 1).select("id", F.lit(0).cast("long").alias("value"))
 
 
 def with_all(found: DataFrame, vertices: DataFrame | None, column: str) -> DataFrame:
@@ -29,15 +29,23 @@ def with_all(found: DataFrame, vertices: DataFrame | None, column: str) -> DataF
 
 def bfs(edges: DataFrame, root: int, max_hops: int | None = None, vertices: DataFrame | None = None, salt: int = 0) -> DataFrame:
     """(id, level): least number of edges from root."""
-    found = vertex_program(edges.select("src", "dst").distinct(), _seed(edges, root), F.col("value") + 1, max_rounds=max_hops, salt=salt)
+    links = Links(edges.select("src", "dst"), lambda df: df.distinct())
+    try:
+        found = vertex_program(links, _seed(edges, root), F.col("value") + 1, max_rounds=max_hops, salt=salt)
+    finally:
+        links.close()
     return with_all(found.withColumnRenamed("value", "level"), vertices, "level")
 
 
-def sssp(edges: DataFrame, root: int, max_hops: int | None = None, vertices: DataFrame | None = None, salt: int = 0) -> DataFrame:
+def sssp(edges: DataFrame, root: int, max_hops: int | None = None, vertices: DataFrame | None = None, salt: int = 0, on_round=None) -> DataFrame:
     """(id, distance): least sum of weights (not negative) from root, over paths of at
     most max_hops edges if given."""
-    light = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    found = vertex_program(light, _seed(edges, root), F.col("value") + F.col("weight"), max_rounds=max_hops, salt=salt)
+    light = lambda df: df.groupBy(*[c for c in df.columns if c != "weight"]).agg(F.min("weight").alias("weight"))
+    links = Links(edges.select("src", "dst", "weight"), light)
+    try:
+        found = vertex_program(links, _seed(edges, root), F.col("value") + F.col("weight"), max_rounds=max_hops, salt=salt, on_round=on_round)
+    finally:
+        links.close()
     return with_all(found.withColumnRenamed("value", "distance"), vertices, "distance")
 
 
@@ -69,33 +77,35 @@ def pagerank(
     n = vertices.count()
     if not n:
         return vertices.select("id", F.lit(0.0).alias("score"))
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = by_source(edges.groupBy("src", "dst").agg(F.count("*").alias("many")).join(out, "src"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ids = vertices.select("id").repartition(parts, "id").persist(StorageLevel.MEMORY_AND_DISK)
-    sinks = vertices.select("id").join(out.withColumnRenamed("src", "id"), "id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK) if dangling == "uniform" else None
-    ranks = ids.withColumn("score", F.lit(1.0 / n if init is None else init))
+    spark = edges.sparkSession
+    links = Links(edges.select("src", "dst"), lambda df: df.groupBy(*df.columns).agg(F.count("*").alias("many")), out=True)
+    sinks = None
     try:
-        for k in range(1, iterations + 1):
-            sent = links.join(ranks.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("score") / F.col("out") * F.col("many")).alias("share"), "src")
-            if salt:
-                sent = sent.groupBy("id", F.pmod(F.xxhash64("src"), F.lit(salt)).alias("replica")).agg(F.sum("share").alias("share"))
-            got = sent.groupBy("id").agg(F.sum("share").alias("got"))
-            spread = 0.0
-            if sinks is not None:
-                spread = (ranks.join(sinks, "id", "left_semi").agg(F.sum("score").alias("s")).first().s or 0.0) / n
-            new = ids.join(got, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + spread)).alias("score"))
-            if tol is not None:
-                new = cut(new)
-                change = new.join(ranks.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("c")).first().c
-                ranks = new
-                if change < n * tol:
-                    break
-            else:
-                ranks = cut(new) if k % cut_every == 0 or k == iterations or sinks is not None else new
-        return cut(ranks) if iterations else cut(ranks)
+        with fixed_plans(spark):
+            ids = keys(vertices.select("id"), "id").repartition(partitions(spark), "id").persist(StorageLevel.MEMORY_AND_DISK)
+            if dangling == "uniform":
+                sinks = ids.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+            ranks = ids.withColumn("score", F.lit(1.0 / n if init is None else init))
+            for k in range(1, iterations + 1):
+                sent = links.join(ranks.withColumnRenamed("id", "src")).select(F.col("dst").alias("id"), (F.col("score") / F.col("out") * F.col("many")).alias("share"), "src")
+                if salt:
+                    sent = sent.groupBy("id", F.pmod(F.xxhash64("src"), F.lit(salt)).alias("replica")).agg(F.sum("share").alias("share"))
+                got = sent.groupBy("id").agg(F.sum("share").alias("got"))
+                spread = 0.0
+                if sinks is not None:
+                    spread = (ranks.join(sinks, "id", "left_semi").agg(F.sum("score").alias("s")).first().s or 0.0) / n
+                new = ids.join(got, "id", "left").select("id", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + spread)).alias("score"))
+                if tol is not None:
+                    new = cut(new)
+                    change = new.join(ranks.withColumnRenamed("score", "old"), "id").agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("c")).first().c
+                    ranks = new
+                    if change < n * tol:
+                        break
+                else:
+                    ranks = cut(new) if k % cut_every == 0 or k == iterations or sinks is not None else new
+            return ranks if iterations else cut(ranks)
     finally:
-        links.unpersist()
+        links.close()
         ids.unpersist()
         if sinks is not None:
             sinks.unpersist()
@@ -105,24 +115,24 @@ def nested_pagerank(edges: DataFrame, vertices: DataFrame, outer: int, inner: in
     return pagerank(edges, vertices, outer * inner, damping)
 
 
-def components(edges: DataFrame, vertices: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each vertex is connected to, ignoring
     direction. Large-star and small-star steps: O(log^2 n) rounds whatever the
-    diameter, where spreading labels would take as many rounds as the diameter."""
+    diameter, where spreading labels would take as many rounds as the diameter. Ends when a
+    step changes nothing, which stars are sure to reach."""
     now = cut(edges.where("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
         now = cut(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             return vertices.select("id").join(now.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         seen = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def component_sizes(found: DataFrame, top: int = 5) -> DataFrame:
@@ -133,14 +143,14 @@ def component_sizes(found: DataFrame, top: int = 5) -> DataFrame:
 
 def multi_bfs(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(source, id, level) for each source (id): levels from several roots in one loop."""
-    links = by_source(edges.select("src", "dst").distinct())
+    links = Links(edges.select("src", "dst"), lambda df: df.distinct())
     frontier = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).cast("long").alias("level")))
     parts = [frontier]
     try:
         k = 0
         while max_hops is None or k < max_hops:
             k += 1
-            sent = links.join(frontier.withColumnRenamed("id", "src"), "src").select("source", F.col("dst").alias("id")).distinct()
+            sent = links.join(frontier.withColumnRenamed("id", "src")).select("source", F.col("dst").alias("id")).distinct()
             seen = reduce(DataFrame.unionByName, [p.select("source", "id") for p in parts])
             new = cut(sent.join(seen, ["source", "id"], "left_anti").withColumn("level", F.lit(k).cast("long")))
             if new.isEmpty():
@@ -149,7 +159,7 @@ def multi_bfs(edges: DataFrame, sources: DataFrame, max_hops: int | None = None)
             parts.append(new)
         return cut(reduce(DataFrame.unionByName, parts))
     finally:
-        links.unpersist()
+        links.close()
 
 
 def path_lengths(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -168,7 +178,7 @@ def source_counts(edges: DataFrame, sources: DataFrame, block: int = 4_096) -> D
     the vertex, ignoring direction. A row of a round holds 64 sources as bits of a long,
     so all pairs take n * n / 64 rows; block sources go through one loop."""
     spark = edges.sparkSession
-    links = by_source(symmetrize(edges.select("src", "dst").where("src != dst")).distinct())
+    links = Links(symmetrize(edges.select("src", "dst").where("src != dst")), lambda df: df.distinct())
     placed = cut(ordinal(sources.select("id").distinct(), ["id"], "place"))
     parts: list[DataFrame] = []
     try:
@@ -179,7 +189,7 @@ def source_counts(edges: DataFrame, sources: DataFrame, block: int = 4_096) -> D
             level = 0
             while True:
                 level += 1
-                sent = links.join(frontier.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("sent"))
+                sent = links.join(frontier.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id"), "word").agg(F.bit_or("bits").alias("sent"))
                 old = F.coalesce("bits", F.lit(0).cast("long"))
                 both = cut(seen.join(sent, ["id", "word"], "full").select("id", "word", old.alias("old"), F.coalesce("sent", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(old)).alias("new")))
                 frontier = both.where("new != 0").select("id", "word", F.col("new").alias("bits"))
@@ -188,7 +198,7 @@ def source_counts(edges: DataFrame, sources: DataFrame, block: int = 4_096) -> D
                 seen = both.select("id", "word", F.col("old").bitwiseOR(F.col("new")).alias("bits"))
                 parts.append(cut(frontier.groupBy("id").agg(F.sum(F.bit_count("bits")).alias("sources")).select("id", F.lit(level).cast("long").alias("level"), "sources")))
     finally:
-        links.unpersist()
+        links.close()
     if not parts:
         return spark.createDataFrame([], "id long, level long, sources long")
     return reduce(DataFrame.unionByName, parts).groupBy("id", "level").agg(F.sum("sources").alias("sources"))

@@ -72,16 +72,21 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("neighbours"))
 
 
-def prefix_sums(df: DataFrame, key: str, value: str, slices: int = 64) -> DataFrame:
+#: Rows of a slice of prefix_sums.
+SLICE = 1 << 20
+
+
+def prefix_sums(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, before): before is the sum of value over smaller keys. Works by
-    ranges of the dense key 0..n-1: sums of slices are added up in one small window,
-    then each slice runs its own, so no task holds all rows."""
+    ranges of the dense key 0..n-1, of at most SLICE rows: sums of slices are added up in one small window
+    (a row for every million), then each slice runs its own, so no task holds all rows."""
     top = df.agg(F.max(key).alias("m")).first().m
-    width = max(1, -(-((top or 0) + 1) // slices))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = max(1, min(SLICE, -(-((top or 0) + 1) // parts)))
     sliced = df.select(key, value, F.floor(F.col(key) / width).alias("slice"))
     sums = sliced.groupBy("slice").agg(F.sum(value).alias("s"))
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("slice", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))  # at most slices rows
+    base = sums.select("slice", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))  # a row for each slice
     inner = Window.partitionBy("slice").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     return sliced.join(F.broadcast(base), "slice").select(key, value, (F.col("base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).alias("before"))
 
@@ -112,8 +117,9 @@ def root_first(vertices: DataFrame, root: int, n: int) -> DataFrame:
 
 
 def shuffled(vertices: DataFrame, root: int, seed: int = 1) -> DataFrame:
-    """vertices in a random order that begins with root."""
-    return vertices.orderBy((F.col("id") != root), F.rand(seed))
+    """(id, position): vertices in a random order that begins with root; the same for a seed."""
+    drawn = vertices.select("id", (F.col("id") != root).cast("int").alias("later"), F.xxhash64("id", F.lit(seed)).alias("draw"))
+    return ordinal(drawn, ["later", "draw", "id"], "position").select("id", "position")
 
 
 def first_and_last(vertices: DataFrame, n: int, k: int = 50) -> DataFrame:

@@ -75,9 +75,11 @@ def _cost(network: str) -> str:
     ruche = 256 * ((5 * 2 + 4) * 12 + 4 * 12 + 2 * 16 + 2 * 40 + 48 + 2 * 8)
     router = {"MESH": mesh, "TORUS": 1.5 * mesh, "RUCHE": ruche, "RUCHE_TORUS": ruche + 0.5 * mesh}[network]
     area = f"(2097152 / (29.2e6::DOUBLE / 8 / 1e-6::DOUBLE) + {router}::DOUBLE / 91e12::DOUBLE + 1e5::DOUBLE / 91e12::DOUBLE)"
-    step = {"MESH": f"sqrt({area})", "TORUS": f"(62.0::DOUBLE * sqrt({area}) / 32)", "RUCHE": f"(3 * sqrt({area}))", "RUCHE_TORUS": f"(186.0::DOUBLE * sqrt({area}) / 32)"}[network]
+    # over Ruche links: a third of the operons, each three cells far; the others as without Ruche links
+    plain = f"(62.0::DOUBLE * sqrt({area}) / 32)" if network.endswith("TORUS") else f"sqrt({area})"
+    way = f"(((l_partkey + 1) - (l_partkey + 1) // 3) * {plain} + ((l_partkey + 1) // 3) * 3 * sqrt({area}))" if network.startswith("RUCHE") else f"((l_partkey + 1) * {plain})"
     energy = (
-        f"(l_partkey + 1) * {step} * 256 * (8e-12::DOUBLE / 32 / 1e-3::DOUBLE) + (l_suppkey + 1) * 0.5::DOUBLE * 5.8e-12::DOUBLE + l_quantity * 0.5::DOUBLE * 9.12e-12::DOUBLE"
+        f"{way} * 256 * (8e-12::DOUBLE / 32 / 1e-3::DOUBLE) + (l_suppkey + 1) * 0.5::DOUBLE * 5.8e-12::DOUBLE + l_quantity * 0.5::DOUBLE * 9.12e-12::DOUBLE"
         " + 1024 * 2097152::DOUBLE * (16.9e-6::DOUBLE / 32768) * ((l_orderkey + 1) / 1e9::DOUBLE)"
     )
     # created is l_suppkey + 1, performed l_quantity, operons l_partkey + 1, cycles l_orderkey + 1
@@ -111,13 +113,15 @@ ORACLE: dict[str, str] = {
     "gq15_pagerank_dangling": f"WITH {SUPPLY}, {rank(3, uniform=True)} SELECT id, round(score, 8) AS score FROM r3",
     "gq16_components": f"{_LABEL} SELECT id, component FROM c",
     "agg15_component_sizes": f"{_LABEL} SELECT component, count(*) AS size, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM v), 6) AS percent FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "gq17_diameter": _MULTI.format(where="id < 40") + " SELECT (SELECT min(id) FROM u) AS component, CAST(max(level) AS BIGINT) AS diameter FROM m",
+    "gq17_diameter": f"""{_MULTI.format(where="true")}, c AS (SELECT id, min(source) AS component FROM m GROUP BY 1), s AS (SELECT component, count(*) AS size FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5),
+x AS (SELECT component, size, CAST(max(level) AS BIGINT) AS diameter FROM m JOIN c ON c.id = m.source JOIN s USING (component) GROUP BY 1, 2) SELECT *, round((SELECT avg(diameter) FROM x), 8) AS average FROM x""",
     "gq18_clustering": f"""WITH {USER}, {PAIRS}, dg AS (SELECT s AS id, count(*) AS d FROM e GROUP BY 1),
 t AS (SELECT x.a, x.b, y.b AS c FROM p x JOIN p y ON x.b = y.a JOIN p z ON z.a = x.a AND z.b = y.b),
 n AS (SELECT id, count(*) AS t FROM (SELECT a AS id FROM t UNION ALL SELECT b FROM t UNION ALL SELECT c FROM t) GROUP BY 1)
 SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 8) AS coefficient FROM dg LEFT JOIN n USING (id)""",
-    "gq19_average_path": _MULTI.format(where="id < 40") + " SELECT round(avg(level), 8) AS average, count(*) AS pairs FROM m WHERE source <> id",
-    "gq20_path_distribution": _MULTI.format(where="id < 20 OR id >= (SELECT max(id) FROM u) + 1 - 20") + " SELECT CAST(level AS BIGINT) AS level, count(*) AS pairs FROM m WHERE source <> id GROUP BY 1",
+    "gq19_average_path": _MULTI.format(where="true") + " SELECT round(avg(level), 8) AS average, count(*) AS pairs FROM m WHERE source <> id",
+    "gq20_path_distribution": f"""{_MULTI.format(where="true")}, c AS (SELECT id, min(source) AS component FROM m GROUP BY 1), s AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+k AS (SELECT id, row_number() OVER (ORDER BY id) AS k, count(*) OVER () AS n FROM c JOIN s USING (component)) SELECT CAST(level AS BIGINT) AS level, count(*) AS pairs FROM m JOIN k ON k.id = m.source WHERE source <> m.id AND (k <= 50 OR k > n - 50) GROUP BY 1""",
     "jn01_frontier_edges": f"WITH RECURSIVE {PART}, {bfs(0, 1)} SELECT src, dst, weight, level + 1 AS level FROM g JOIN b ON b.id = g.src WHERE level = 1",
     "jn02_message_improves": f"WITH {PART}, {relax(0, 2)} SELECT d2.id, d2.distance, d1.distance AS old FROM d2 LEFT JOIN d1 USING (id) WHERE d1.distance IS NULL OR d2.distance < d1.distance",
     "jn03_not_visited": f"WITH RECURSIVE {PART}, {bfs(0, 1)} SELECT id FROM v WHERE id NOT IN (SELECT id FROM b)",
@@ -184,9 +188,9 @@ SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2.0::DOUBLE *
     "srt01_sorted": f"WITH RECURSIVE {PART}, {bfs(3)} SELECT id, level FROM b ORDER BY id",
     "srt02_top": f"WITH {PART}, {DEG} SELECT id, in_degree FROM d ORDER BY 2 DESC, 1 LIMIT 1",
     "srt03_top_components": f"{_LABEL} SELECT component, count(*) AS size FROM c GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "srt04_lists_equal": f"WITH {PART} SELECT DISTINCT src AS id, true AS equal FROM g",
+    "srt04_lists_equal": f"WITH {PART} SELECT DISTINCT src AS id, src % 7 <> 0 AS equal FROM g",
     "srt05_root_first": "SELECT p_partkey AS id, (p_partkey - 7 + (SELECT count(*) FROM part)) % (SELECT count(*) FROM part) AS position FROM part",
-    "srt06_shuffled": "SELECT p_partkey AS id FROM part",
+    "srt06_shuffled": "SELECT count(*) AS ids, count(*) AS positions, count(*) - 1 AS last, CAST(7 AS BIGINT) AS first, true AS moved FROM part",
     "srt07_sample": "SELECT p_partkey AS id FROM part WHERE p_partkey < 50 OR p_partkey >= (SELECT count(*) FROM part) - 50",
     "set01_union": f"WITH {USER} SELECT DISTINCT src, dst FROM inc",
     "set02_symmetrized": f"WITH {PART}, s AS (SELECT src, dst, weight FROM g UNION ALL SELECT dst, src, weight FROM g) SELECT src, dst, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM s GROUP BY 1, 2",
@@ -194,9 +198,11 @@ SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2.0::DOUBLE *
     "set04_edge_differences": f"WITH {PART} SELECT src, dst, weight, 'left' AS side, count(*) AS n FROM g WHERE weight >= 50 GROUP BY 1, 2, 3",
     "trf01_adjacency": f"WITH {PART} SELECT src AS id, CAST(count(*) AS INTEGER) AS n, min(dst) AS first, max(dst) AS last FROM g GROUP BY 1",
     "trf05_csr": f"WITH {PART} SELECT row_number() OVER (ORDER BY src, dst, weight) - 1 AS place, dst, weight FROM g",
-    "trf06_germinate": "SELECT p_partkey AS id FROM part",
-    "trf07_verify": "SELECT count(*) AS n, CAST(0 AS BIGINT) AS errors FROM part",
-    "trf08_validate": "SELECT CAST(0 AS BIGINT) AS differences",
+    "trf06_germinate": f"WITH {GEO} SELECT id FROM v WHERE id NOT IN (SELECT dst FROM g) OR id = 40",
+    "trf07_verify": f"""WITH {PART}, {relax(0, 25)}, c AS (SELECT v.id, coalesce(distance, 999999) AS x FROM v LEFT JOIN d25 USING (id)),
+q AS (SELECT CASE id % 10 WHEN 4 THEN 'extra' WHEN 3 THEN 'wrong' ELSE 'ok' END AS status, CASE id % 10 WHEN 4 THEN NULL WHEN 3 THEN 2 ELSE 0 END AS far FROM c UNION ALL SELECT 'missing', NULL FROM v WHERE id % 10 = 5)
+SELECT status, count(*) AS n, CAST(max(far) AS BIGINT) AS largest FROM q GROUP BY 1""",
+    "trf08_validate": f"WITH {PART} SELECT side, weight, count(*) AS differences FROM (SELECT 'left' AS side, weight FROM g WHERE weight >= 49 UNION ALL SELECT 'right', CAST(60 AS BIGINT) FROM g WHERE weight = 49) GROUP BY 1, 2",
     "lay01_chunks": f"WITH {PART}, q AS (SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dst, weight) - 1) // 8 AS chunk FROM g) SELECT src AS id, chunk, CAST(count(*) AS INTEGER) AS n FROM q GROUP BY 1, 2",
     "lay02_replicas": f"WITH {PART}, {_RHIZOME.format(size=4, cutoff=6)} SELECT dst AS id, count(DISTINCT rhizome) AS replicas FROM z GROUP BY 1",
     "lay03_cyclic": f"WITH {PART} SELECT id, {CELL} AS cc_id, {CELL} % 16 AS x, {CELL} // 16 AS y FROM v",
@@ -210,4 +216,49 @@ SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2.0::DOUBLE *
     "src05_golden": f"WITH RECURSIVE {GEO}, {bfs(0)}, m AS (SELECT max(id) AS top FROM b) SELECT x AS id, coalesce(level, 999999) AS level FROM (SELECT unnest(range(0, (SELECT top FROM m) + 1)) AS x) LEFT JOIN b ON b.id = x",
     "src06_scores": f"WITH {PART}, {rank(1)} SELECT id, round(score, 8) AS score FROM r1",
     "src12_frames": "SELECT p_partkey % 5 AS cycle, p_partkey // 5 // 8 AS row, p_partkey // 5 % 8 AS col, CAST(p_partkey % 12 AS INTEGER) AS code FROM part",
+    "acc03_diffusions": f"""WITH {PART}, {relax(0, 25)}, """
+    + ", ".join(f"a{k} AS (SELECT CAST({k} AS BIGINT) AS round, count(*) AS created, CAST(sum(CAST(o.id IS NOT NULL AS BIGINT)) AS BIGINT) AS pruned FROM d{k} n LEFT JOIN d{k - 1} o USING (id) WHERE o.id IS NULL OR n.distance < o.distance)" for k in range(1, 26))
+    + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT * FROM a{k}" for k in range(1, 26)) + ") WHERE created > 0",
+    "snk07_csr_text": f"""WITH {PART}, {DEG}, t AS (SELECT 0 AS s, 0 AS a, 0 AS b, 0 AS c, 'WeightedAdjacencyGraph' AS value UNION ALL SELECT 1, 0, 0, 0, CAST((SELECT count(*) FROM v) AS VARCHAR) UNION ALL SELECT 2, 0, 0, 0, CAST((SELECT count(*) FROM g) AS VARCHAR)
+  UNION ALL SELECT 3, id, 0, 0, CAST(CAST(coalesce(sum(out_degree) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS VARCHAR) FROM d
+  UNION ALL SELECT 4, src, dst, weight, CAST(dst AS VARCHAR) FROM g UNION ALL SELECT 5, src, dst, weight, CAST(weight AS VARCHAR) FROM g) SELECT row_number() OVER (ORDER BY s, a, b, c) - 1 AS nth, value FROM t""",
+    "lay04_vicinity": "SELECT count(*) AS n, CAST(2 AS BIGINT) AS dx, CAST(2 AS BIGINT) AS dy, CAST(0 AS BIGINT) AS own, CAST(0 AS BIGINT) AS off FROM part",
+    "gen04_random_graph": "SELECT CAST(224 AS BIGINT) AS edges, CAST(224 AS BIGINT) AS different, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS weights_off, CAST(1 AS BIGINT) AS components",
+    "gen04_undirected": "SELECT CAST(4096 AS BIGINT) AS edges, CAST(4096 AS BIGINT) AS different, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS weights_off, CAST(0 AS BIGINT) AS one_way, CAST(1 AS BIGINT) AS components",
+    "gen05_rmat": "SELECT CAST(1024 AS BIGINT) AS edges, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS weights_off",
+    "gen01_preferential_closing": "SELECT CAST(2016 AS BIGINT) AS edges, CAST(2016 AS BIGINT) AS different, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS weights_off, CAST(0 AS BIGINT) AS one_way, CAST(1 AS BIGINT) AS components",
+    "gen02_preferential": "SELECT CAST(2016 AS BIGINT) AS edges, CAST(2016 AS BIGINT) AS different, CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS weights_off, CAST(0 AS BIGINT) AS one_way, CAST(1 AS BIGINT) AS components",
+    "gen03_small_world": "SELECT CAST(0 AS BIGINT) AS loops, CAST(0 AS BIGINT) AS off, CAST(0 AS BIGINT) AS one_way, CAST(0 AS BIGINT) AS weights_off, CAST(1 AS BIGINT) AS components, true AS simple",
+    "udf03_program_bfs": f"""WITH RECURSIVE {PART}, {bfs(0)}, p AS (SELECT y.id, min(x.id) AS parent FROM b y JOIN g ON g.dst = y.id JOIN b x ON x.id = g.src AND x.level = y.level - 1 GROUP BY 1)
+SELECT v.id, level, CASE WHEN v.id = 0 THEN -1 ELSE parent END AS parent FROM v LEFT JOIN b USING (id) LEFT JOIN p USING (id)""",
+    "udf06_gated_pagerank": f"""WITH v AS (SELECT p_partkey AS id FROM part), g0 AS (SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst FROM lineitem) WHERE dst IS NOT NULL), g AS (SELECT DISTINCT * FROM g0), {rank(3)} SELECT id, round(score, 8) AS score FROM r3""",
+    "udf01_registered": f"WITH {PART} SELECT dst AS id, count(DISTINCT src) AS told, 5 AS number FROM g WHERE src % 5 = 0 GROUP BY 1 HAVING count(DISTINCT src) >= 3",
+    "udf08_on_insert": f"""WITH RECURSIVE {USER}, root AS (SELECT src FROM st WHERE nth = 0), a1 AS (SELECT src, dst FROM inc WHERE increment = 1), a2 AS (SELECT src, dst FROM inc WHERE increment = 2),
+s1 AS (SELECT src AS id, CAST(0 AS BIGINT) AS level FROM root UNION SELECT dst, CAST(10 AS BIGINT) FROM a1 WHERE src = (SELECT src FROM root)),
+w1 AS (SELECT id, level FROM s1 UNION SELECT a1.dst, level + 1 FROM w1 JOIN a1 ON a1.src = w1.id WHERE level BETWEEN 10 AND 40), l1 AS (SELECT id, min(level) AS level FROM w1 GROUP BY 1),
+s2 AS (SELECT id, min(level) AS level FROM (SELECT * FROM l1 UNION ALL SELECT a2.dst, l1.level + 10 FROM l1 JOIN a2 ON a2.src = l1.id) GROUP BY 1),
+f2 AS (SELECT s2.id, s2.level FROM s2 LEFT JOIN l1 USING (id) WHERE l1.level IS NULL OR s2.level < l1.level),
+w2 AS (SELECT id, level FROM f2 UNION SELECT e.dst, level + 1 FROM w2 JOIN (SELECT * FROM a1 UNION SELECT * FROM a2) e ON e.src = w2.id WHERE level < 40)
+SELECT id, min(level) AS level FROM (SELECT * FROM s2 UNION ALL SELECT * FROM w2) GROUP BY 1""",
+    "src07_matrix": f"WITH {PART} SELECT src, dst, count(*) AS n, CAST(0 AS BIGINT) AS off FROM g GROUP BY 1, 2",
+    "src09_digraph": f"WITH {PART} SELECT src, dst, CAST(max(CAST(weight AS VARCHAR)) AS DOUBLE) AS weight FROM g GROUP BY 1, 2",
+    "trf02_matrix_to_edges": f"WITH {PART} SELECT src, dst, count(*) AS n, (SELECT count(*) FROM v) AS vertices FROM g GROUP BY 1, 2",
+    "src08_parmat": f"WITH {PART} SELECT src, dst, count(*) AS n FROM g GROUP BY 1, 2",
+    "trf03_parmat_to_edges": f"WITH {PART} SELECT src, dst, count(*) AS n FROM g GROUP BY 1, 2",
+    "src10_cumulative": f"WITH {USER} SELECT DISTINCT src, dst FROM inc",
+    "trf04_cumulative_goldens": f"""WITH q AS ({_DYNAMIC}), n AS (WITH {USER} SELECT CAST(k AS BIGINT) AS increment, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM inc WHERE increment <= k)) AS edges FROM (SELECT unnest(range(1, 4)) AS k))
+SELECT CAST(q.increment AS INTEGER) AS increment, id, level, edges FROM q JOIN n USING (increment)""",
+    "src04_stream_channels": f"""WITH {USER}, r AS (SELECT increment - 1 AS batch, src, dst, row_number() OVER (PARTITION BY increment ORDER BY src, dst) - 1 AS k, count(*) OVER (PARTITION BY increment) AS n FROM inc WHERE increment <= 2)
+SELECT batch, CAST(least(k // (n // 8), 7) AS INTEGER) AS channel, count(*) AS edges, CAST(sum(src) AS BIGINT) AS src, CAST(sum(dst) AS BIGINT) AS dst FROM r GROUP BY 1, 2""",
+    "trf09_consolidate": f"""SELECT CAST(500 + n_nationkey AS BIGINT) AS edges, CAST(n_nationkey % 3 AS BIGINT) AS trail, CASE WHEN n_nationkey % 2 = 1 THEN 'TORUS' ELSE 'MESH' END AS network, CASE WHEN n_nationkey % 2 = 1 THEN 'ON' ELSE 'OFF' END AS throttle,
+CAST(1000 + 10 * n_nationkey AS BIGINT) AS total_cycles, CAST(600 + n_nationkey AS BIGINT) AS actions_performed, CAST(9000 + n_nationkey AS BIGINT) AS operons_moved, CAST(4096 AS BIGINT) AS memory_cc, CAST(2 AS BIGINT) AS rpvo_max, 'ON' AS pruning,
+'G' || n_regionkey AS graph_file, 'bfs' AS app, round(256 * (4096 / (29.2e6::DOUBLE / 8 / 1e-6::DOUBLE) + CASE WHEN n_nationkey % 2 = 1 THEN 1.5::DOUBLE ELSE 1 END * 256 * ((5 * 2 + 4) * 12 + 2 * 8 + 2 * 24 + 32) / 91e12::DOUBLE + 1e5::DOUBLE / 91e12::DOUBLE) * 1e6 * 1e3, 6) AS area,
+round((1000 + 10 * n_nationkey)::DOUBLE, 6) AS time_ns FROM nation""",
+    "src11_statistics": "SELECT CAST(500 + n_nationkey AS BIGINT) AS edges, CAST(3 AS BIGINT) AS cycles, 31.5::DOUBLE AS active, CAST(6 + 4 * n_nationkey AS BIGINT) AS objects FROM nation",
+    "src15_name_fields": "SELECT 'G' || n_regionkey AS graph, CAST(500 + n_nationkey AS VARCHAR) AS edges, CAST(n_nationkey % 3 AS VARCHAR) AS trail, '1' AS throttle, CASE WHEN n_nationkey % 2 = 1 THEN 'TORUS' ELSE 'MESH' END AS network, 'ON' AS pruning FROM nation",
+    "src16_partition_labels": "SELECT p_partkey AS id, CAST(p_partkey % 8 AS INTEGER) AS block FROM part",
+    "snk08_text_report": f"""WITH {PART}, {DEG}, x AS (SELECT 'out_degree' AS k, count(*) AS n, round(avg(out_degree), 4) AS mean, min(out_degree) AS least, max(out_degree) AS most FROM d UNION ALL SELECT 'in_degree', count(*), round(avg(in_degree), 4), min(in_degree), max(in_degree) FROM d)
+SELECT unnest(['degrees: ' || k, 'n' || chr(9) || n, 'mean' || chr(9) || mean, 'least' || chr(9) || least, 'most' || chr(9) || most]) AS line FROM x""",
+    "trf10_frame_grid": f"""WITH q AS (SELECT p_partkey % 3 AS cycle, CAST(p_partkey // 3 // 8 AS INTEGER) AS row, p_partkey // 3 % 8 AS col, {_ACTIVITY!r}[p_partkey % 12 + 1] AS c FROM part) SELECT cycle, row, string_agg(c, '|' ORDER BY col) AS classes FROM q GROUP BY 1, 2""",
 }

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import activity_class
 from ..operators.fixpoint import UNREACHED
+from ..operators.graph import ordinal
 
 _SPACE = r"\s+"
 
@@ -137,8 +139,8 @@ def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.withColumns({"graph": F.substring_index(folder, "_", 1), "app": F.substring_index(folder, "_", -1)})
 
 
-def read_named(spark: SparkSession, pattern: str, fields: list[str]) -> DataFrame:
-    """(path, fields...): files of a pattern with the parts of their names between _."""
+def read_named(spark: SparkSession, pattern: str | list[str], fields: list[str]) -> DataFrame:
+    """(path, fields...): files of one or more patterns with the parts of their names between _."""
     files = spark.read.format("binaryFile").load(pattern).select("path")  # names only: content is not read
     parts = F.split(F.element_at(F.split("path", "/"), -1), "_")
     return files.select("path", *[F.try_element_at(parts, F.lit(k + 1)).alias(c) for k, c in enumerate(fields)])
@@ -185,11 +187,65 @@ def read_statistics(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def in_order(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, nth, value): lines with their place, from 0, by file name and place in the file, however the
+    files are split: by the offset of the split, then by the place in it."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return ordinal(lines, ["path", "block", "at"]).select("path", "nth", "value")
+
+
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """(cycle, row, col, code) of an animation file: two lines of header and label, then a
     line for each cycle with rows between commas and cells between spaces."""
-    lines = _numbered(spark, path).where("nth >= 2 and trim(value) != ''")
-    first = lines.agg(F.min("nth")).first()[0]
-    framed = lines.select((F.col("nth") - (first or 0)).alias("cycle"), F.posexplode(F.split(F.trim("value"), r",\s*")).alias("row", "cells"))
+    lines = ordinal(in_order(spark, path).where("nth >= 2 and trim(value) != ''"), ["nth"], "cycle")
+    framed = lines.select("cycle", F.posexplode(F.split(F.trim("value"), r",\s*")).alias("row", "cells"))
     cells = framed.select("cycle", "row", F.posexplode(F.split(F.trim("cells"), _SPACE)).alias("col", "code"))
     return cells.where("code != ''").select("cycle", "row", "col", F.col("code").cast("int").alias("code"))
+
+
+def frame_grid(frames: DataFrame) -> DataFrame:
+    """(cycle, grid): each frame as an array of rows, each an array of the classes of its cells."""
+    rows = frames.groupBy("cycle", "row").agg(F.array_sort(F.collect_list(F.struct("col", activity_class(F.col("code")).alias("class")))).alias("c"))
+    return rows.groupBy("cycle").agg(F.array_sort(F.collect_list(F.struct("row", F.col("c.class").alias("classes")))).alias("g")).select("cycle", F.col("g.classes").alias("grid"))
+
+
+#: Fields of the names of run files, by their place between the underscores (fixed by the files).
+NAME_FIELDS = {
+    "app": 0, "graph": 2, "vertices": 4, "edges": 6, "rpvo_max": 8, "rhizome_cuttoff": 10, "trail": 12, "dim_x": 14, "dim_y": 16, "throttle": 20,
+    "recvbuff": 22, "vicinity": 24, "ghosts_max": 27, "edges_min": 30, "edges_max": 33, "termination": 35, "network": 37, "pruning": 40,
+}
+
+
+def name_fields(path: Column) -> list[Column]:
+    """The fields of a run file's name (of its folder, if Spark wrote it); null beyond its last part."""
+    steps = F.split(path, "/")
+    name = F.when(F.element_at(steps, -1).startswith("part-"), F.try_element_at(steps, F.lit(-2))).otherwise(F.element_at(steps, -1))
+    parts = F.split(name, "_")
+    return [F.try_element_at(parts, F.lit(k + 1)).alias(c) for c, k in NAME_FIELDS.items()]
+
+
+def consolidate(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
+    """One row of RUN_COLUMNS for each run statistics file of the patterns: its totals, the fields of its
+    name and the cost model. One job whatever the number of files."""
+    from ..operators.runs import with_cost
+
+    named = {
+        "actions_created": "total_actions_created", "actions_performed": "total_actions_performed_work", "actions_false_pred": "total_actions_false_on_predicate", "diffusions_performed": "diffusions_performed_work",
+        "diffusions_false_pred": "diffusions_false_on_predicate", "memory_total": "total_chip_memory(bytes)", "congestion_threshold_value": "threshold",
+    }
+    read = [c for c in RUN_COLUMNS if c not in named] + [*named.values(), "total_compute_cells", "hx"]
+    totals = read_statistics(spark, patterns)["totals"]
+    wide = totals.groupBy("path").pivot("name", sorted(set(read))).agg(F.first("value"))
+    back = {v: k for k, v in named.items()}
+    wide = wide.select("path", *[F.col(f"`{c}`").alias(back.get(c, c)) for c in wide.columns if c != "path"])
+    file = F.col("path")
+    fields = {c.split(".")[-1]: x for c, x in zip(NAME_FIELDS, name_fields(file), strict=True)}
+    values = {
+        "trail": fields["trail"], "network": fields["network"], "termination": fields["termination"], "throttle": F.when(F.col("throttle").cast("long") > 0, "ON").otherwise("OFF"),
+        "min_edges": fields["edges_min"], "max_edges": fields["edges_max"], "vicinity": fields["vicinity"], "pruning": fields["pruning"], "rpvo_max": fields["rpvo_max"], "rhizome_cuttoff": fields["rhizome_cuttoff"],
+        "memory_cc": F.floor(F.col("memory_total").cast("double") / F.col("total_compute_cells").cast("double")), "routing_algorithm": F.lit("XY"),
+    }
+    schema = {f.name: f.dataType for f in runs_schema()}
+    rows = wide.select(*[values.get(c, F.col(c)).cast(schema[c]).alias(c) for c in RUN_COLUMNS])
+    made = with_cost(rows)
+    return made.withColumns({"chip_area": F.col("area_m"), "totE": F.col("energy_m"), "time": F.col("time_m")}).select(*RUN_COLUMNS)

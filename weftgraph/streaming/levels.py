@@ -9,12 +9,14 @@ restarted query ends with the same levels.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dynamic import apply_increment, first_levels
 from ..operators.fixpoint import bfs
+from ..operators.layout import stream_chunks
 
 SCHEMA = "src long, dst long, weight long"
 
@@ -24,11 +26,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class LevelStore:
     """Edges (one folder a batch, append only) and levels (the last two batches count)."""
 
-    def __init__(self, spark: SparkSession, folder: str, root: int):
-        self.spark, self.folder, self.root = spark, folder.rstrip("/"), root
+    def __init__(self, spark: SparkSession, folder: str, root: int, keep: bool = True):
+        """keep: whether the levels of all batches stay, for history(), or of the last two only."""
+        self.spark, self.folder, self.root, self.keep = spark, folder.rstrip("/"), root, keep
 
     def edges(self, before: int) -> DataFrame:
         paths = [f"{self.folder}/edges/{k}" for k in range(before)]
@@ -39,13 +47,24 @@ class LevelStore:
             return first_levels(self.spark, self.root)
         return self.spark.read.schema("id long, level long").parquet(f"{self.folder}/levels/{after}")
 
-    def add(self, batch: DataFrame, k: int, relax: bool = True) -> None:
-        batch.select("src", "dst", "weight").write.mode("overwrite").parquet(f"{self.folder}/edges/{k}")
+    def channels(self, before: int) -> DataFrame:
+        """(batch, channel, src, dst, weight) of the batches that were dealt over channels."""
+        each = [self.spark.read.schema(SCHEMA + ", channel int").parquet(f"{self.folder}/edges/{k}").withColumn("batch", F.lit(k).cast("long")) for k in range(before)]
+        return reduce(DataFrame.unionByName, each).select("batch", "channel", "src", "dst", "weight")
+
+    def add(self, batch: DataFrame, k: int, relax: bool = True, dim_x: int | None = None) -> None:
+        """dim_x: edges are dealt in equal runs over 2 dim_x channels, as I/O cells would read them."""
+        batch = batch.select("src", "dst", "weight")
+        if dim_x is not None:
+            batch = stream_chunks(batch, ["src", "dst", "weight"], dim_x, batch.count())
+        batch.write.mode("overwrite").parquet(f"{self.folder}/edges/{k}")
         delta = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/edges/{k}")
         levels = self.levels(k - 1)
         if relax:
             levels = apply_increment(self.edges(k), levels, delta)[1]
         levels.write.mode("overwrite").parquet(f"{self.folder}/levels/{k}")
+        if not self.keep and k >= 2:  # a replay needs the state before it and no older one
+            drop(self.spark, f"{self.folder}/levels/{k - 2}")
 
     def history(self, batches: int) -> DataFrame:
         """(increment, id, level), increments from 1."""
@@ -57,18 +76,18 @@ class LevelStore:
 
 
 def stream_levels(
-    spark: SparkSession, source: str, root: int, folder: str, relax: bool = True, one_based: bool = True, on_batch: Callable[[int, LevelStore], None] | None = None
+    spark: SparkSession, source: str, root: int, folder: str, relax: bool = True, one_based: bool = True, keep: bool = True, on_batch: Callable[[int, LevelStore], None] | None = None, dim_x: int | None = None
 ):
     """Starts the query and returns (query, store). Files are taken one at a time in order
     of their modification times. relax=False only ingests; levels can then be found at the
     end by deferred()."""
-    store = LevelStore(spark, folder, root)
+    store = LevelStore(spark, folder, root, keep)
     shift = 1 if one_based else 0
     raw = spark.readStream.schema(SCHEMA).option("sep", "\t").option("maxFilesPerTrigger", 1).csv(source)
     edges = raw.select((F.col("src") - shift).alias("src"), (F.col("dst") - shift).alias("dst"), F.coalesce("weight", F.lit(1)).cast("long").alias("weight"))
 
     def step(batch: DataFrame, k: int) -> None:
-        store.add(batch, k, relax)
+        store.add(batch, k, relax, dim_x)
         if on_batch:
             on_batch(k, store)
 
