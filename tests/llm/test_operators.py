@@ -69,16 +69,35 @@ def test_join_equals_brute_force(docs, none):
     assert op1_ngram_join.ngram_components(none).count() == 0
 
 
-def test_pairs_of_large_buckets():
-    """A bucket larger than SMALL whose classes lie in several components."""
-    import pyarrow as pa
-
-    n = op1_ngram_join.SMALL + 4
-    c = np.sort(np.arange(n) % 3)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(c), pa.array(np.arange(n)), pa.array(np.full(n, 100 << 31)), pa.array([[0] * 8] * n)], names=["h", "c", "f", "sp", "odd"])
-    for centres, want in ((None, n), (n, n), (2, 2)):
-        got = {(x, y) for b in op1_ngram_join._later_round(centres)(iter([batch])) for x, y in zip(*(b.column(k).to_pylist() for k in ("f1", "f2")), strict=True)}
-        assert got == {(i, j) for i in range(want) for j in range(i + 1, n) if c[i] != c[j]}
+def test_words_of_any_structure_differ(spark):
+    """Thue-Morse words, on which sums of powers of an odd base agree modulo 2^64, words that differ in one byte
+    anywhere, zero bytes, and words around the block sizes of the hash."""
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    got = {r.doc_id: r.component_id for r in op1_ngram_join.ngram_components(frame(spark, [(1, morse, "", ""), (2, other, "", ""), (3, morse.upper(), "", "")])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    words = [morse, other] + [x * k for k in range(1, 40) for x in ("a", "ab", "\0", "é")] + [morse[:i] + "c" + morse[i + 1 :] for i in range(0, 1024, 7)]
+    words += ["a" * i + "b" + "a" * (k - i) for k in (7, 8, 9, 16, 31, 32, 33) for i in range(k)]
+    raw = [w.encode() for w in words]
+    hashes = [int(h) for w in raw for h in op1_ngram_join._piece_words(w)[0]]
+    assert len(hashes) == len(raw) and len(set(hashes)) == len(set(raw))
+    together = op1_ngram_join._piece_words(b" \t".join(raw))[0]
+    assert together.tolist() == hashes
+
+
+def test_pairs_of_large_buckets(spark):
+    """All pairs of different components of a bucket, cut into blocks or not, and all classes against the centres."""
+    n = 60
+    rows = [(7, k % 3, k, 100 << 31, [0] * 8) for k in range(n)]
+    named = spark.createDataFrame(rows, "h long, c long, f long, sp long, odd array<long>")
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if i % 3 != j % 3}
+    for block in (8, 1000):
+        keyed = op1_ngram_join.in_blocks(named, block).repartition(4, "key").sortWithinPartitions("key", "c", "f")
+        found = [tuple(r) for r in keyed.mapInArrow(op1_ngram_join._crossing, "f1 long, f2 long").collect()]
+        assert set(found) == want and len(found) == len(want)
+        assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= (n if block > n else 8 * block)
+    near = {tuple(r) for r in op1_ngram_join.against_centres(named).mapInArrow(op1_ngram_join._fitting, "f1 long, f2 long").collect()}
+    assert near <= want and len({x for p in near for x in p}) == n
 
 
 def test_parities_bound_the_difference():
@@ -93,18 +112,20 @@ def test_parities_bound_the_difference():
 
 
 def test_shared_postings_in_any_batches():
-    """Shared shingles, once a class, and whether more than SMALL classes have them."""
+    """Classes of shingles that more than SMALL have, and the pairs of those that fewer have, in any batches."""
     import pyarrow as pa
 
     rng = np.random.default_rng(6)
     rows = sorted((h, int(f)) for h, n in enumerate((1, 8, 9, 30, 2, 1, 40)) for f in rng.integers(0, 60, n))
-    classes = {h: {f for g, f in rows if g == h} for h, _ in rows}
-    want = [(h, f, len(classes[h]) > op1_ngram_join.SMALL) for h in sorted(classes) for f in sorted(classes[h]) if len(classes[h]) > 1]
+    classes = {h: sorted({f for g, f in rows if g == h}) for h, _ in rows}
+    large = [(h, f) for h in sorted(classes) for f in classes[h] if len(classes[h]) > op1_ngram_join.SMALL]
+    pairs = {(x, y) for h in classes if len(classes[h]) <= op1_ngram_join.SMALL for i, x in enumerate(classes[h]) for y in classes[h][i + 1 :]}
     for size in (1, 2, 7, 8, 9, 10, 1000):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
-        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p]), pa.array([r[1] for r in p]), pa.array([5] * len(p))], names=["h", "f", "sp"]) for p in parts]
-        got = [x for b in op1_ngram_join._shared(iter(batches)) for x in zip(*(b.column(k).to_pylist() for k in ("h", "f", "large")), strict=True)]
-        assert got == want
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in p]), pa.array([r[1] for r in p]), pa.array([100 << 31] * len(p))], names=["h", "f", "sp"]) for p in parts]
+        got = [x for b in op1_ngram_join._shared(iter(batches)) for x in zip(*(b.column(k).to_pylist() for k in ("h", "f", "sp")), strict=True)]
+        assert [x[:2] for x in got if x[0] is not None] == large
+        assert {x[1:] for x in got if x[0] is None} == pairs
     assert list(op1_ngram_join._shared(iter([]))) == []
 
 

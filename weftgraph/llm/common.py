@@ -29,17 +29,29 @@ def words(text: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none
-    (tests, one machine) a temporary folder of this machine takes its place."""
+    """spark.checkpoint.dir, the folder that driver and executors share. Only a session of one machine
+    (master local) may go without it and gets a temporary folder."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="weft-")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(named)
+    return named
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have (compared as Spark does, without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,15 +77,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of an undirected edge list; component is the
     smallest node. Alternates large-star and small-star steps, each a min per node
-    and an equi-join, until the edge list is a set of stars. Nulls and loops are
-    ignored; an empty list gives an empty result."""
+    and an equi-join, until a step changes nothing, which stars are sure to reach. Nulls and loops are
+    ignored; an empty list gives an empty result. (The graph operators have their own: neither
+    folder imports the other.)"""
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     now = cut(pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -85,4 +98,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
             roots = now.select(F.col("v").alias("node")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.withColumn("component", F.col("node")))
         state = new
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

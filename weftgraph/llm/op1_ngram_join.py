@@ -11,12 +11,16 @@ shingle still allow the threshold.
 In a bucket of few classes every pair is a candidate. In a larger one all are
 first held against one centre; verified links give components; where classes of a bucket
 still differ in component, a second round holds them against CENTRES centres, and a third
-tests all pairs that lie in different components. In these the suffix filter comes
+tests all pairs that lie in different components, in blocks of BLOCK classes, so no task holds a
+bucket whole. In these the suffix filter comes
 before the pair is made: the parities of BITS hash ranges differ in no more places
 than the sets do, so a pair whose parities differ in too many can not link. Links
 inside a component can not change the result: a task does not verify a pair that its links already join, and large
 groups of copies cost a few links per member.
 
+Words, shingles and sets are compared by hashes of 64 bits: among 10^9 different words some 0.03 equal pairs are to
+be expected by chance, whatever the words look like, and as many among 10^9 different sets.
+
 Empty and null texts have no shingles and link with nothing. Rows with equal
 text are one class, also when doc_id repeats or is null (null never becomes a
 component id unless no row of the component has an id). An empty table gives an
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,44 +56,47 @@ BITS = 512
 #: Links that one task joins up in memory.
 LINKS = 200_000
 
+#: Classes of a bucket that one task holds against each other; larger buckets are cut into blocks.
+BLOCK = 1_024
+
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | _U(1)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BREAK = np.zeros(256, bool)
 _BREAK[[9, 10, 11, 12, 13, 32]] = True
-_POWERS: dict[str, np.ndarray] = {}
+#: Words of up to this many bytes are hashed together, eight bytes at a time; longer ones one by one.
+SHORT = 32
+_KEY = _rng.integers(1, 1 << 63, SHORT // 8 + 1, dtype=np.uint64)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The finaliser of splitmix64."""
+    """The finaliser of splitmix64, a one-to-one map."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["p"]) < n:
-        size = max(n, PIECE + 1)
-        for key, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[key] = np.cumprod(x)
-    return _POWERS["p"], _POWERS["i"]
-
-
 def _piece_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word of raw."""
-    b = _FOLD[np.frombuffer(raw, dtype=np.uint8)]
-    out = _BREAK[b]
+    """Hash and first byte of every word of raw. Each eight bytes of a word are mixed under a key of their
+    place before they are added up, so words of any structure differ but by chance (2^-64 a pair)."""
+    b = np.zeros(len(raw) + 8, np.uint8)
+    b[: len(raw)] = _FOLD[np.frombuffer(raw, dtype=np.uint8)]
+    out = _BREAK[b[: len(raw)]]
     edge = np.diff(np.concatenate(([True], out, [True])).astype(np.int8))
     first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    p, i = _powers(len(b) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * p[: len(b)])))
-    return mix((total[last] - total[first]) * i[first] + (last - first).astype(np.uint64)), first
+    size = last - first
+    eight = np.ndarray((len(raw) + 1,), "<u8", b.data, strides=(1,))
+    total = size.astype(np.uint64) * _KEY[-1]
+    for k in range(SHORT // 8):
+        own = np.flatnonzero(size > 8 * k) if k else slice(None)
+        at = first[own] + 8 * k
+        total[own] += mix((eight[np.minimum(at, len(raw))] & _MASK[np.minimum(size[own] - 8 * k, 8)]) ^ _KEY[k])
+    for w in np.flatnonzero(size > SHORT):
+        total[w] = xxhash.xxh3_64_intdigest(b[first[w] : last[w]].tobytes())
+    return mix(total), first
 
 
 def texts_words(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -247,8 +255,8 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def _shared(batches):
-    """Of postings sorted by (h, f): those whose shingle at least two classes have, once each;
-    large says whether more than SMALL have it."""
+    """Of postings sorted by (h, f): where more than SMALL classes have the shingle, these classes, once each;
+    where 2 to SMALL have it, the candidate pairs among them (h is null, f and sp hold the two)."""
     held: list[np.ndarray] | None = None  # rows of the last shingle that are not sent yet
     sent = 0  # and how many are
     for batch in itertools.chain(batches, (None,)):
@@ -272,10 +280,15 @@ def _shared(batches):
             stop = len(h) - 1 if total[-1] > SMALL else int(start[-1])
             held = [x[stop:] for x in (h, f, sp)]
             sent = int(total[-1]) - (len(h) - stop)
-        count = np.repeat(total, size)[:stop]
-        mark = count > 1
-        if mark.any():
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[:stop][mark]) for x in (h, f, sp)), pa.array(count[mark] > SMALL)], names=["h", "f", "sp", "large"])
+        count, first = np.repeat(total, size)[:stop], np.repeat(start, size)[:stop]
+        large = count > SMALL
+        if large.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[:stop][large]) for x in (h, f, sp)], names=["h", "f", "sp"])
+        row = np.arange(stop)
+        for d in range(1, SMALL):  # a bucket of up to SMALL is never cut by a batch
+            y = row[~large & (row - d >= first)]
+            if (got := _pairs(f, sp, y - d, y)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.nulls(got.num_rows).cast(pa.int64()), got.column(0), got.column(1)], names=["h", "f", "sp"])
 
 
 def fits(sp1: np.ndarray, sp2: np.ndarray) -> np.ndarray:
@@ -324,51 +337,56 @@ def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.concatenate((start, [len(h)])))
 
 
-def _first_round(batches):
-    """All pairs of small buckets; in larger ones each class with the first (the smallest f)."""
-    for h, f, sp in _runs(batches, ("h", "f", "sp")):
-        start, size = _bounds(h)
-        first, length = np.repeat(start, size), np.repeat(size, size)
-        row = np.arange(len(h))
-        for d in range(1, SMALL):
-            y = row[(length <= SMALL) & (row - d >= first)]
-            if (got := _pairs(f, sp, y - d, y)) is not None:
-                yield got
-        y = row[(length > SMALL) & (row > first)]
-        if (got := _pairs(f, sp, first[y], y)) is not None:
+def _fitting(batches):
+    """Of classes beside a centre (f, sp and g, tp; perhaps odd and godd) the pairs that pass the filters."""
+    for batch in batches:
+        f, sp, g, tp = _columns(batch, ("f", "sp", "g", "tp"))
+        odd = None
+        if "odd" in batch.schema.names and len(f):
+            odd = np.concatenate(_columns(batch, ("odd", "godd")))
+        n = np.arange(len(f))
+        if (got := _pairs(np.concatenate((f, g)), np.concatenate((sp, tp)), n, n + len(f), odd)) is not None:
             yield got
 
 
-def _later_round(centres: int | None):
-    """In large buckets, the pairs whose classes are in different components and whose parities
-    let them link: all, or those with one of so many centres, which are the smallest f."""
-
-    def make(batches):
-        for h, c, f, sp, odd in _runs(batches, ("h", "c", "f", "sp", "odd")):
-            for s, n in zip(*_bounds(h), strict=True):
-                if n <= SMALL or c[s] == c[s + n - 1]:  # sorted by component
-                    continue
-                end = s + n
-                if centres is not None:
-                    first = s + np.argpartition(f[s:end], min(centres, n) - 1)[:centres]
-                    y = np.arange(s, end)
-                    for lo in first:
-                        if (got := _pairs(f, sp, np.full(n, lo)[c[s:end] != c[lo]], y[c[s:end] != c[lo]], odd)) is not None:
-                            yield got
+def _crossing(batches):
+    """In the blocks of a bucket (equal key, sorted by component), the pairs whose classes are in different components
+    and, if other says so, in different blocks, and whose parities let them link."""
+    for key, c, f, sp, odd, block, other in _runs(batches, ("key", "c", "f", "sp", "odd", "block", "other")):
+        for s, n in zip(*_bounds(key), strict=True):
+            end = s + n
+            if c[s] == c[end - 1]:
+                continue
+            rows = np.arange(s, end)
+            after = s + np.searchsorted(c[s:end], c[s:end], "right")  # first row of a later component
+            each = end - after
+            for lo in range(0, n, 1 + 500_000 // n):
+                part = slice(lo, lo + 1 + 500_000 // n)
+                x = np.repeat(rows[part], each[part])
+                if not len(x):
                     continue
-                rows = np.arange(s, end)
-                after = s + np.searchsorted(c[s:end], c[s:end], "right")  # first row of a later component
-                each = end - after
-                for lo in range(0, n, 1 + 500_000 // n):
-                    part = slice(lo, lo + 1 + 500_000 // n)
-                    x = np.repeat(rows[part], each[part])
-                    if not len(x):
-                        continue
-                    y = np.arange(len(x)) - np.repeat(np.cumsum(each[part]) - each[part], each[part]) + np.repeat(after[part], each[part])
-                    if (got := _pairs(f, sp, x, y, odd)) is not None:
-                        yield got
+                y = np.arange(len(x)) - np.repeat(np.cumsum(each[part]) - each[part], each[part]) + np.repeat(after[part], each[part])
+                ok = ~other[x] | (block[x] != block[y])
+                if (got := _pairs(f, sp, x[ok], y[ok], odd)) is not None:
+                    yield got
+
 
-    return make
+def against_centres(named: DataFrame) -> DataFrame:
+    """named (h, c, f, sp, odd) beside up to CENTRES classes of the same bucket in other components: the smallest of
+    each share of the bucket. No task holds a bucket: the centres are aggregated, and a hot bucket is split by the join."""
+    centre = named.groupBy("h", F.pmod(F.xxhash64("f"), F.lit(CENTRES)).alias("share")).agg(F.min(F.struct("f", "c", "sp", "odd")).alias("z"))
+    both = named.join(centre.select("h", "z"), "h").where(F.col("c") != F.col("z.c"))
+    return both.select("f", "sp", "odd", F.col("z.f").alias("g"), F.col("z.sp").alias("tp"), F.col("z.odd").alias("godd"))
+
+
+def in_blocks(named: DataFrame, block: int | None = None) -> DataFrame:
+    """named (h, c, f, sp, odd) with a key for each pair of blocks of its bucket that a class belongs to, its block, and
+    whether only pairs of different blocks count there."""
+    sizes = named.groupBy("h").agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks"))
+    own = named.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("f", F.lit(1)), F.col("blocks")).cast("int"))
+    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("h", F.least("block", "with"), F.greatest("block", "with"))
+    return own.select(key.alias("key"), "c", "f", "sp", "odd", "block", (F.col("block") != F.col("with")).alias("other"))
 
 
 def _sets(wanted):
@@ -489,20 +507,27 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     rank = spark.sparkContext.broadcast((np.log2(counts.astype(np.float64) + 1) * 2000).astype(np.uint16))
 
     posted = docs.mapInArrow(_postings(rank), "h long, f long, sp long")
-    shared = scratch.save("shared", posted.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_shared, "h long, f long, sp long, large boolean"))
-    pairs = scratch.save("pairs", shared.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_first_round, "f1 long, f2 long").distinct())
+    shared = scratch.save("shared", posted.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_shared, "h long, f long, sp long"))
+    large = shared.where("h is not null")
+    centre = large.groupBy("h").agg(F.min(F.struct("f", "sp")).alias("z"))
+    first = large.join(centre, "h").where("f != z.f").select("f", "sp", F.col("z.f").alias("g"), F.col("z.sp").alias("tp")).mapInArrow(_fitting, "f1 long, f2 long")
+    pairs = scratch.save("pairs", shared.where("h is null").select(F.col("f").alias("f1"), F.col("sp").alias("f2")).unionByName(first).distinct())
     links = cut(_linked(docs, pairs))
     labels = _components(links)
 
-    large, seen = shared.where("large").drop("large"), pairs
-    for k, centres in enumerate((CENTRES, None)):
+    seen = pairs
+    for k in range(2):
         label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
         named = large.join(label, "f", "left").select("h", F.coalesce("c", "f").alias("c"), "f", "sp")
         mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
         named = scratch.save(f"mixed{k}", named.join(mixed, "h", "left_semi"))
         odd = survey.where("n > 0").select("f", "odd").join(named.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.first("odd").alias("odd"))
-        rest = named.join(odd, "f").repartition("h").sortWithinPartitions("h", "c", "f").mapInArrow(_later_round(centres), "f1 long, f2 long").distinct()
-        rest = cut(rest.join(seen, ["f1", "f2"], "left_anti"))
+        named = named.join(odd, "f")
+        if k == 0:
+            rest = against_centres(named).mapInArrow(_fitting, "f1 long, f2 long")
+        else:
+            rest = in_blocks(named).repartition("key").sortWithinPartitions("key", "c", "f").mapInArrow(_crossing, "f1 long, f2 long")
+        rest = cut(rest.distinct().join(seen, ["f1", "f2"], "left_anti"))
         scratch.drop(f"mixed{k}")
         if rest.isEmpty():
             continue
@@ -510,8 +535,8 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         labels = _components(links)
         seen = seen.unionByName(rest)
     label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
-    scratch.drop("shared")
-    scratch.drop("pairs")
+    for name in ("shared", "pairs"):
+        scratch.drop(name)
 
     classes = members.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("d")).join(label, "f", "left").withColumn("c", F.coalesce("c", "f"))
     least = classes.groupBy("c").agg(F.min("d").alias("component_id"))
