@@ -293,19 +293,43 @@ def test_large_benchmark_gives_the_same(spark, docs, monkeypatch):
     assert sorted(map(str, op7_decontaminate.find_benchmark(docs, items).collect())) == few
 
 
+def test_transducers_against_all_paths():
+    """The composed machine against each machine in turn, over every path, on all short clauses."""
+    import itertools
+
+    from weftgraph.llm import transducers as T
+
+    parts = [op8_toxicity.denial(), op8_toxicity.report(), op8_toxicity.aim(), op8_toxicity.weigh(op8_toxicity.FALLBACK)]
+    machine = T.compose(T.compose(T.compose(parts[0], parts[1]), parts[2]), parts[3])
+    for n in range(5):
+        for clause in itertools.product(op8_toxicity.SYMBOLS, repeat=n):
+            found = [(0.0, list(clause))]
+            for p in parts:
+                found = [(w + v, out) for w, x in found for v, out in T.paths(p, x)]
+            assert sorted(T.paths(machine, list(clause))) == sorted(found)
+            assert T.best(machine, list(clause))[0] == max(w for w, _ in found)
+
+
 def test_toxicity_grammar():
     g = op8_toxicity.Grammar(["idio"], dict(op8_toxicity.FALLBACK))
-    reads = {"You are an idiot.": "aimed", "What idiots": "insult", "not an idiot": "negated", "She said idiots sleep": "reported", "I will kill you": "threat", "fine. Then kill time": "none", "": "none", "patriidiot": "none", "good\nidiotic": "insult"}
-    assert {t: g.reading(t) for t in reads} == reads and g.reading(None) == "none"
+    reads = {
+        "You are an idiot.": ["aimed"], "What idiots": ["insult"], "not an idiot": ["denied"], "She said idiots sleep": ["reported"], "I will kill you": ["threatened"], "fine. Then kill time": [],
+        "": [], "patriidiot": [], "good\nidiotic": ["insult"], "idiots, all of them": ["aimed"], "an idiot in a very long row of you": ["insult"], "he said he will not kill you": ["denied"], "he will kill, he said you": ["threatened"],
+    }
+    for text, want in reads.items():
+        assert g.counts(text) == tuple(want.count(k) for k in op8_toxicity.READINGS), text
+    assert sum(g.counts(None)) == 0 and g.counts("idiot. " * 9000)[2] == op8_toxicity.MOST
+    scores = [g.score(g.counts(t)) for t in (None, "not an idiot", "What idiots", "You are an idiot. What idiots")]
+    assert scores == sorted(scores) and scores[0] < 0.3 < scores[2]
 
 
 def test_toxicity_learns(spark, none):
     rows = [(i, prose(30, i) + (" scumbag " if i % 4 == 0 else " ") + prose(10, i + 500), "en", "a") for i in range(200)]
-    all_ = frame(spark, [*rows, (900, None, "en", "a"), (901, "", "en", "a"), (None, "scumbag", "en", "a")])
+    all_ = frame(spark, [*rows, (900, None, "en", "a"), (901, "", "en", "a"), (None, "scumbag", "en", "a"), (902, "scumbag " + prose(60_000, 8), "en", "a"), (902, "scumbag " + prose(60_000, 8), "en", "a")])
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
     got = op8_toxicity.score(all_, op8_toxicity.fit(all_, labels.where(~op8_toxicity.held_out(F.col("doc_id"))))).collect()
     assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.held_out and r.doc_id < 200)
-    assert len(got) == 203 and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == 205 and [r.predicted for r in got if r.doc_id in (900, 901, 902)] == [0, 0, 1, 1] and [r.predicted for r in got if r.doc_id is None] == [1] and all(0 <= r.score <= 1 for r in got)
     assert op8_toxicity.score(none, op8_toxicity.fit(none, labels)).count() == 0
 
 

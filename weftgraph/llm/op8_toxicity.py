@@ -1,23 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause ends at one of .!?;: or a line end. Its words are read as symbols: insult
-(any word that begins with a learned stem), threat verb, target, negation, reported
-speech, other. Transducers over these symbols compose a clause's reading: an insult
-within reach of a negation is a negated insult; after reported speech, a reported
-one; beside a target, an aimed one; a threat verb counts only before a target. Each
-reading has a weight, the share of toxic rows among labelled texts whose strongest
-clause has that reading. A text scores its heaviest clause; without a
-matched clause it scores the share of toxic rows among such texts.
+A clause ends at one of .!?;: or a line end. A letter trie reads each of its words as a symbol: insult
+(any word that begins with a learned stem), threat, target, negation, report, other. Four
+transducers are composed into one (transducers.compose): denial turns insults and threats within REACH
+words after a negation into denied ones; report turns those after reported speech into
+reported ones; aim turns an insult with a target within REACH words on either side into an
+aimed one, and a threat into a real one if a target follows, else into nothing (it guesses, and paths whose target does not come end); weigh
+puts a learned weight on each reading. The heaviest path of the composed machine reads a clause. A text's
+score is the logistic function of a bias and the weights of the readings of its matched clauses, each
+counted up to MOST times.
 
 Stems and weights are learned from a bounded sample of labelled rows, at most
-SAMPLE_TOXIC and SAMPLE_CLEAN, chosen by a hash of doc_id; of sampled texts with the same min-hash (copies)
-one counts. A stem is the beginning of a word, STEM letters or more, that MIN_DOCS or more
+SAMPLE_TOXIC and SAMPLE_CLEAN, chosen by a hash of doc_id, texts over SAMPLE_CHARS characters left out; of sampled texts
+with the same min-hash (copies) one counts. A stem is the beginning of a word, STEM letters or more, that MIN_DOCS or more
 of the sampled toxic texts have, clean ones almost never, and not by chance: the likelihood ratio is CHANCE
 or more, and so large that among all terms tried RANDOM one is to be expected by chance. No share of the
 toxic texts is asked for, so rare insults are learned as soon as there is evidence. Texts in which the same words stand on both
-sides of a stem, as in near copies, are evidence once. Without labels only the fixed word lists apply, with
-FALLBACK weights. Null and empty texts score as texts without a match. Each row gives one
-row; other columns are ignored.
+sides of a stem, as in near copies, are evidence once. Weights are those of a logistic regression with a
+normal prior around FALLBACK. Without labels only the fixed word lists apply, with FALLBACK.
+
+Null and empty texts, and texts without a matched clause, score the bias alone. Long texts are read whole. Each row
+gives one row, repeated rows and null ids too (null ids are not held out); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .transducers import Transducer, Trie, best, compose
 
 SAMPLE_TOXIC = 4_000
 SAMPLE_CLEAN = 20_000
@@ -41,15 +47,18 @@ CHANCE = 24.0
 RANDOM = 0.01
 NEAR = 3
 PURE = 0.9
-MAX_STEMS = 2_000
 REACH = 3
 THRESHOLD = 0.3
 THREAT = "kill hurt destroy beat stab shoot burn töten umbringen schlagen verletzen tuer frapper brûler matar golpear quemar".split()
 TARGET = "you your yourself u he she they them him her du dich dir ihr euch sie tu te toi vous il elle tú ti usted ustedes él ella".split()
 NEGATION = "not no never isn't aren't don't doesn't nor nicht kein keine nie niemals pas jamais aucun no nunca jamás ningún".split()
 REPORT = "said says say told wrote claimed called quoted sagte sagt schrieb meinte dit disait écrit dijo dice escribió".split()
-READINGS = ("none", "negated", "reported", "insult", "aimed", "threat")
-FALLBACK = {"none": 0.02, "negated": 0.35, "reported": 0.4, "insult": 0.8, "aimed": 0.9, "threat": 0.7}
+SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
+READINGS = ("denied", "reported", "insult", "aimed", "threatened")
+#: Bias and weights (log odds) without labels, and the centre of what is learned.
+FALLBACK = {"bias": -4.0, "denied": 1.0, "reported": 1.5, "insult": 4.0, "aimed": 5.0, "threatened": 3.0}
+#: Readings of a kind that count in a text; weight of the prior of the regression.
+MOST, PRIOR = 3, 1.0
 _CLAUSE = regex.compile(r"[.!?;:\n]")
 _WORD = regex.compile(r"[\p{L}\p{M}']+")
 
@@ -58,61 +67,115 @@ def held_out(doc_id: Column, of: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of == part, F.lit(False))
 
 
-def read_clause(clause: str, is_insult) -> str:
-    """The strongest reading of a clause (lower case)."""
-    best, negated, reported, target_at, threat_at, insult_at = "none", -99, False, -99, -99, -99
-    aimed = set()
-    for i, w in enumerate(_WORD.findall(clause)):
-        if is_insult(w):
-            insult_at = i
-            kind = "negated" if i - negated <= REACH else "reported" if reported else "aimed" if i - target_at <= REACH else "insult"
-            if kind == "insult":
-                aimed.add(i)
-            best = max(best, kind, key=READINGS.index)
-        elif w in TARGETS:
-            target_at = i
-            if i - threat_at <= REACH:
-                best = max(best, "threat", key=READINGS.index) if not (negated >= threat_at - REACH and negated >= 0) and not reported else best
-            if i - insult_at <= REACH and insult_at in aimed:
-                best = max(best, "aimed", key=READINGS.index)
-        elif w in NEGATIONS:
-            negated = i
-        elif w in REPORTS:
-            reported = True
-        elif w in THREATS:
-            threat_at = i
-    return best
+TARGETS, NEGATIONS, REPORTS, THREATS = map(frozenset, (TARGET, NEGATION, REPORT, THREAT))
 
 
-TARGETS, NEGATIONS, REPORTS, THREATS = map(frozenset, (TARGET, NEGATION, REPORT, THREAT))
+def denial(reach: int = REACH) -> Transducer:
+    """States: words left in which a negation still holds."""
+    t = Transducer(0, final=set(range(reach + 1)))
+    for k in range(reach + 1):
+        for x in SYMBOLS:
+            held = k > 0 and x in ("insult", "threat")
+            t.arc(k, x, "denied" if held else x, 0.0, reach if x == "negation" else max(0, k - 1))
+    return t
+
+
+def report() -> Transducer:
+    """States: whether reported speech was announced."""
+    t = Transducer(0, final={0, 1})
+    for k in (0, 1):
+        for x in (*SYMBOLS, "denied"):
+            t.arc(k, x, "reported" if k and x in ("insult", "threat") else x, 0.0, 1 if x == "report" else k)
+    return t
+
+
+def aim(reach: int = REACH) -> Transducer:
+    """States (t, p): words left in which a target that was read still counts, and words left in which one has to
+    come (0: none has to)."""
+    t = Transducer((0, 0), final={(k, 0) for k in range(reach + 1)})
+    for k in range(reach + 1):
+        for p in range(reach + 1):
+            on = (max(0, k - 1), p - 1) if p else (max(0, k - 1), 0)
+            ends = p == 1  # the last word that could have been the target
+            for x in (*SYMBOLS, "denied", "reported"):
+                if x == "target":
+                    t.arc((k, p), x, x, 0.0, (reach, 0))
+                    continue
+                if not ends:
+                    t.arc((k, p), x, {"insult": "aimed" if k else "insult", "threat": "other"}.get(x, x), 0.0, on)
+                if (x == "insult" and not k) or x == "threat":
+                    now = "aimed" if x == "insult" else "threatened"
+                    if not p:
+                        t.arc((k, p), x, now, 0.0, (on[0], reach))
+                    elif not ends:
+                        t.arc((k, p), x, now, 0.0, on)
+    return t
+
+
+def weigh(weights: dict[str, float]) -> Transducer:
+    t = Transducer(0, final={0})
+    for x in (*SYMBOLS, *READINGS):
+        t.arc(0, x, x, weights.get(x, 0.0), 0)
+    return t
 
 
 class Grammar:
-    """The composed transducers; built once in each worker."""
+    """The composed machine and the trie; built once in each worker."""
 
     def __init__(self, stems: list[str], weights: dict[str, float]):
-        self.stems, self.weights = frozenset(stems), weights
-        self.sizes = sorted({len(s) for s in stems})
+        self.weights = weights
+        self.machine = compose(compose(compose(denial(), report()), aim()), weigh(weights))
+        named = {w: k for k, own in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS), ("threat", THREATS)) for w in own}
+        self.stems, self.sizes = frozenset(stems), sorted({len(s) for s in stems})
+        self.trie = Trie(dict.fromkeys(stems, "insult"), named)
         threats = "|".join(sorted(map(regex.escape, THREAT)))
         starts = sorted({regex.escape(s) for s in stems})
-        # only clauses that hold one of these can have a reading other than none
+        # only clauses that hold one of these can have a reading
         self.trigger = regex.compile(rf"(?<![\p{{L}}\p{{M}}'])(?:{'|'.join([*starts, threats])})")
 
-    def is_insult(self, word: str) -> bool:
-        return any(word[:k] in self.stems for k in self.sizes)
-
-    def reading(self, text: str | None) -> str:
-        best = "none"
-        if not text:
-            return best
-        low = text.lower()
-        at = 0
-        while (m := self.trigger.search(low, at)) is not None:
-            begin = max((low.rfind(c, 0, m.start()) for c in ".!?;:\n"), default=-1) + 1
-            end = stop.start() if (stop := _CLAUSE.search(low, m.end())) else len(low)
-            best = max(best, read_clause(low[begin:end], self.is_insult), key=READINGS.index)
-            at = end
-        return best
+    def symbols(self, clause: str) -> list[str]:
+        return [self.trie.read(w, "other") for w in _WORD.findall(clause)]
+
+    def read_clause(self, clause: str) -> list[str]:
+        """The readings on the heaviest path over a clause (lower case)."""
+        found = best(self.machine, self.symbols(clause))
+        return [x for x in found[1] if x in READINGS] if found else []
+
+    def counts(self, text: str | None) -> tuple[int, ...]:
+        """How often a text has each reading, up to MOST."""
+        out = dict.fromkeys(READINGS, 0)
+        if text:
+            low = text.lower()
+            at = 0
+            while (m := self.trigger.search(low, at)) is not None:
+                begin = max((low.rfind(c, 0, m.start()) for c in ".!?;:\n"), default=-1) + 1
+                end = stop.start() if (stop := _CLAUSE.search(low, m.end())) else len(low)
+                for x in self.read_clause(low[max(begin, at) : end]):
+                    out[x] += 1
+                at = end
+        return tuple(min(MOST, v) for v in out.values())
+
+    def score(self, counts: tuple[int, ...]) -> float:
+        z = self.weights["bias"] + sum(self.weights[k] * v for k, v in zip(READINGS, counts, strict=True))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def regress(rows: list[tuple[tuple[int, ...], int, float]]) -> dict[str, float]:
+    """Bias and weights from (counts, toxic, how many) by Newton steps. No weight is under 0: a match is
+    never a sign of a clean text."""
+    x = np.array([[1, *c] for c, _, _ in rows], float)
+    y, n = np.array([t for _, t, _ in rows], float), np.array([k for _, _, k in rows], float)
+    centre = np.array([FALLBACK["bias"], *[FALLBACK[k] for k in READINGS]])
+    w, keep = centre.copy(), np.array([1e-3, *[PRIOR] * len(READINGS)])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (n * (p - y)) + keep * (w - centre)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(keep), slope)
+        step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return {"bias": float(w[0])} | {k: max(0.0, float(v)) for k, v in zip(READINGS, w[1:], strict=True)}
 
 
 def _terms(batches):
@@ -142,7 +205,7 @@ def _pick(rows) -> list[str]:
     """Short stems first; a longer one is left out if its beginning is in."""
     chosen: set[str] = set()
     for r in sorted(rows, key=lambda r: (len(r.term), -r.a, r.term)):
-        if len(chosen) < MAX_STEMS and not any(r.term[:k] in chosen for k in range(STEM[0], len(r.term))):
+        if not any(r.term[:k] in chosen for k in range(STEM[0], len(r.term))):
             chosen.add(r.term)
     return sorted(chosen)
 
@@ -184,12 +247,13 @@ def _single(grammar):
     return run
 
 
-def _reading(grammar):
+def _counts(grammar):
     def run(batches):
         own = Grammar(*grammar.value)
         for batch in batches:
-            found = [own.reading(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(found, pa.string())], names=[*(c for c in batch.schema.names if c != "text"), "reading"])
+            found = [own.counts(t) for t in batch.column("text").to_pylist()]
+            made = [pa.array(found, pa.list_(pa.int32())), pa.array([own.score(c) for c in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), *made], names=[*(c for c in batch.schema.names if c != "text"), "readings", "score"])
 
     return run
 
@@ -225,32 +289,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[str], dict[str, float]
     totals = cut(terms.groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     needed = least_ratio(totals.count())
     evident = (F.col("a") >= MIN_DOCS) & (F.col("b") <= 0.02 * F.col("a")) & (F.col("a") / ta >= PURE * (F.col("a") / ta + F.col("b") / tb)) & (ratio >= needed)
-    pure = cut(totals.where(evident).orderBy(F.desc("a"), "term").limit(20_000))
+    pure = cut(totals.where(evident))  # of the words of the bounded sample
     names = spark.sparkContext.broadcast(frozenset(r.term for r in pure.select("term").collect()))
     # one side at least differs where texts differ; an insult may stand in a fixed phrase on the other
     apart = different.mapInArrow(_contexts(names), "term string, before string, after string").groupBy("term").agg(F.greatest(F.countDistinct("before"), F.countDistinct("after")).alias("places"))
-    pure = pure.join(apart, "term").withColumn("a", F.least("a", "places")).where(evident)
-    stems = _pick(pure.collect())
+    stems = _pick(pure.join(apart, "term").withColumn("a", F.least("a", "places")).where(evident).collect())
     # where a stem is the only one of a text, clean texts must not outweigh toxic ones
     alone = different.mapInArrow(_single(spark.sparkContext.broadcast((stems, dict(FALLBACK)))), "stem string, toxic int").groupBy("stem", "toxic").count().collect()
     single = {(r.stem, r.toxic): r["count"] for r in alone}
     stems = [s for s in stems if (a1 := single.get((s, 1), 0) / ta) >= PURE * (a1 + single.get((s, 0), 0) / tb)]
     shared = spark.sparkContext.broadcast((stems, dict(FALLBACK)))
-    seen = sample.mapInArrow(_reading(shared), "toxic int, reading string").groupBy("reading", "toxic").count().collect()
-    n = {(r.reading, r.toxic): r["count"] / rate[r.toxic] for r in seen}
-    weights = {}
-    for k in READINGS:
-        a, b = n.get((k, 1), 0), n.get((k, 0), 0)
-        weights[k] = (a + 4 * FALLBACK[k]) / (a + b + 4)
-    return stems, weights
+    seen = sample.mapInArrow(_counts(shared), "toxic int, readings array<int>, score double").groupBy("readings", "toxic").count().collect()  # few: MOST and READINGS bound them
+    return stems, regress([(tuple(r.readings), r.toxic, r["count"] / rate[r.toxic]) for r in sorted(seen, key=lambda r: (r.readings, r.toxic))])
 
 
 def score(docs: DataFrame, model: tuple[list[str], dict[str, float]]) -> DataFrame:
-    """doc_id, held_out, score, predicted and reading for each row of docs."""
+    """doc_id, held_out, score, predicted and readings (how often each of READINGS) for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    got = own.mapInArrow(_reading(shared), "doc_id long, held_out boolean, reading string")
-    weight = F.lit(float(model[1]["none"]))
-    for k in READINGS[1:]:
-        weight = F.when(F.col("reading") == k, float(model[1][k])).otherwise(weight)
-    return got.withColumn("score", weight).select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "reading")
+    got = own.mapInArrow(_counts(shared), "doc_id long, held_out boolean, readings array<int>, score double")
+    return got.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "readings")
