@@ -262,6 +262,33 @@ def test_neighbours_equal_brute_force(spark):
     assert op6_neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_recall(spark, monkeypatch):
+    """A thousand queries over several blocks: recall without structure, and the share verified with structure.
+    Copies, ties and clashing columns."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(4000, 24))
+    v[2000:2008] = v[5]
+    df = spark.createDataFrame([(i, x.tolist(), 1, 2) for i, x in enumerate(v)], "vec_id long, embedding array<double>, block int, asks int")
+    monkeypatch.setattr(op6_neighbours, "DATA_BLOCK", 1500)
+    got: dict = {}
+    for r in op6_neighbours.nearest(df, every=4).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 4):
+        cos = u @ u[q]
+        cos[q] = -9
+        assert [s for _, s in got[q]] == pytest.approx([float(cos[i]) for i, _ in got[q]]) and len(got[q]) == 5
+        hits += len({i for i, _ in got[q]} & set(np.argsort(-cos, kind="stable")[:5].tolist()))
+    assert len(got) == 1000 and hits >= 0.93 * 5000
+    assert [i for i, _ in got[2000]] == [5, 2001, 2002, 2003, 2004]
+    centres = rng.normal(size=(200, 24))
+    block = op6_neighbours.Block(np.arange(6000), centres[rng.integers(0, 200, 6000)] + 0.2 * rng.normal(size=(6000, 24)))
+    for q in range(0, 6000, 100):
+        block.nearest(q, block.data[q], 5)
+    assert block.verified < 0.03 * 60 * 6000
+
+
 def test_benchmark_equals_brute_force(spark, docs, none):
     items = spark.createDataFrame([(1, prose(200, 2)[:150]), (2, "one TWO"), (3, None), (4, ""), (2, "one TWO"), (None, "changed " + prose(3, 77))], "item_id long, text string")
     got = op7_decontaminate.find_benchmark(docs, items).collect()
