@@ -46,7 +46,8 @@ def op8_toxicity_query(spark, d):
 
 
 def op9_line_dedup(spark, d):
-    return op9_lines.line_report(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return op9_lines.line_report(docs, op9_lines.site_of(docs))
 
 
 def op10_secret_scan(spark, d):
