@@ -160,6 +160,39 @@ def test_urls_of_all_links(spark):
     assert sorted((r.a, r.b) for r in got) == sorted([*((page, u) for u in want.values()), (page, "http://h.com/late"), ("http://k.net", "http://k.net/s")])
 
 
+def test_ten_thousand_links(spark):
+    """Chains, hubs, cycles and loops against a plain union-find, given as redirects and as links in pages."""
+    import random
+
+    r = random.Random(9)
+    url = lambda k: f"http://{'abcde'[k % 5]}{k}.{'net' if k % 97 == 0 else 'org/fr' if k % 101 == 0 else 'com'}/p"
+    links = [(k, k + 1) for k in range(1000) if k % 50] + [(2000 + k, 2000) for k in range(1, 4000)] + [(7000 + k, 7000 + (k + 1) % 200) for k in range(200)] + [(8000, 8000)]
+    links += [(r.randrange(10_000, 13_000), r.randrange(10_000, 13_000)) for _ in range(1500)] + [(12_990, 12_999)] * 5
+    root = list(range(14_000))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[top(a)] = top(b)
+    own = lambda k: "allow" if url(k).startswith("http") and ".org/fr/" in url(k) else "block" if ".net/" in url(k) else None
+    groups: dict = {}
+    for k in range(14_000):
+        groups.setdefault(top(k), set()).add(own(k))
+    linked = {k for e in links for k in e}
+    want = {k: own(k) or (("allow" if "allow" in groups[top(k)] else "block" if "block" in groups[top(k)] else "allow") if k in linked else "allow") for k in range(14_000)}
+    half = len(links) // 2
+    html: dict = {}
+    for a, b in links[:half]:
+        html[a] = html.get(a, "") + f"<link rel=canonical href='{url(b)}'>"
+    pages = spark.createDataFrame([(k, url(k), html.get(k), "x") for k in range(14_000)], "page_id long, url string, html string, node string")
+    got = op3_urls.judge_urls(pages, redirects=spark.createDataFrame([(url(a), url(b)) for a, b in links[half:]], "a string, b string")).collect()
+    assert {r.page_id: r.verdict for r in got} == want and len(got) == 14_000 and sorted(set(want.values())) == ["allow", "block"]
+
+
 def test_mixing_meets_targets(spark, docs, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 0), (10, 1, 1), (11, 0, 0), (12, 1, 0), (None, 1, 1), (13, None, 0)], "doc_id long, quality int, toxic int")
     got = op4_mixing.mix(docs, labels, {"clean": 0.5, "rough": 0.3, "toxic": 0.2}).toPandas()
@@ -375,6 +408,28 @@ def test_toxicity_learns_rare_insults(spark):
     assert op8_toxicity.least_ratio(1) == op8_toxicity.CHANCE < op8_toxicity.least_ratio(10**6) < op8_toxicity.least_ratio(10**9)
 
 
+def test_names_of_their_own(spark, docs):
+    """Columns named like those that operators add stay as they are."""
+    names = ["weft_id", "weft_text", "weft_site", "weft_drop", "weft_drops_of", "weft_hit_id", "weft_hit_text", "weft_spans", "site", "s", "t", "h", "hit", "found", "spans", "ids", "start", "line", "bits", "id", "WEFT_ID_"]
+    own = docs.withColumns({c: F.lit(f"my {c}") for c in names})
+    items = spark.createDataFrame([(1, prose(200, 2)[:150]), (2, "one TWO")], "item_id long, text string")
+    for got in (op7_decontaminate.decontaminate(own, items), op7_decontaminate.decontaminate(own, items, spans=True), op9_lines.drop_boilerplate(own)):
+        assert got.columns == own.columns and got.count() > 0
+        assert got.where(" or ".join(f"`{c}` != 'my {c}'" for c in names)).count() == 0
+    assert sorted(map(str, op7_decontaminate.find_benchmark(own, items).collect())) == sorted(map(str, op7_decontaminate.find_benchmark(docs, items).collect()))
+    assert sorted(map(str, op9_lines.line_report(own).collect())) == sorted(map(str, op9_lines.line_report(docs).collect()))
+
+
+def test_lines_of_hosts(spark):
+    """The host where there is a URL, else the source; a share of exactly RATIO stays; repeated rows, null ids, long texts."""
+    rows = [(i, f"own {i}\nmenu", f"http://{'A' if i % 2 else 'a'}.com/{i}", "s") for i in range(10)] + [(100 + i, f"page {i}\n" + ("tenth" if i < 5 else "x"), None, "s") for i in range(50)]
+    rows += [(None, "own\nmenu\n" + "long line\n" * 30_000 + "end", "http://a.com/z", "t"), (3, "own 3\nmenu", "http://a.com/3", "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, url string, source string")
+    got = op9_lines.drop_boilerplate(d, op9_lines.site_of(d)).collect()
+    assert [r.text for r in got if r.doc_id == 3] == ["own 3"] * 2 and {r.text for r in got if r.doc_id == 100} == {"page 0\ntenth"} and {r.text for r in got if r.doc_id == 140} == {"page 40"}
+    assert [r.text for r in got if r.doc_id is None] == ["own\n" + "long line\n" * 30_000 + "end"]
+
+
 def test_lines(spark, none):
     rows = [(i, f"own {i}\n  Menu \n\nown line {i}", "en", "s") for i in range(20)] + [(50, "Menu", "en", "t"), (51, None, "en", "s"), (52, "", "en", None), (53, "Menu", "en", "s"), *[(60 + k, "copied\ntext", "en", "s") for k in range(9)]]
     d = frame(spark, rows)

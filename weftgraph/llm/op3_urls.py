@@ -8,8 +8,12 @@ always wins.
 
 URLs are compared without scheme and fragment, with the host in lower case. Null
 URLs, and those without ://, have empty host and path, fit no rule and are
-allowed. Each row gives one row; other columns are ignored; null html has no
-links; an empty table gives an empty result. DataFrame operations only.
+allowed. Targets relative to the page count (of entities only &amp; and &#38; are resolved; <base href> is not read). Each row gives one row, repeated
+rows and null ids too; equally long rules go by name; other columns are ignored; null html has no
+links, long html is read whole; an empty table gives an empty result. DataFrame operations only.
+
+Hubs: a URL that very many pages link to is the smallest or a joined node of its component, so steps aggregate it
+before the shuffle and its join is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -78,7 +82,8 @@ def link_edges(pages: DataFrame) -> DataFrame:
     html, url = F.col("html"), F.col("url")
     target = [F.regexp_extract_all(html, F.lit(x), 1) for x in (*_CANONICAL, *_REFRESH)]
     marked = pages.where(html.rlike(r"(?i)canonical|refresh")).select(url.alias("a"), F.explode(F.array_distinct(F.concat(*target))).alias("t"))
-    return marked.where("t != ''").select("a", resolve(F.col("a"), F.col("t")).alias("b")).where("b is not null")
+    target = F.replace(F.replace("t", F.lit("&amp;"), F.lit("&")), F.lit("&#38;"), F.lit("&"))
+    return marked.where("t != ''").select("a", resolve(F.col("a"), target).alias("b")).where("b is not null")
 
 
 def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -94,5 +99,7 @@ def judge_urls(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None
     decided = urls.join(label, "node").groupBy("component").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"), F.max((F.col("v") == "block").cast("int")).alias("blocked"))
     passed = label.join(decided, "component").select("node", "component", F.when(F.col("allowed") == 1, "allow").when(F.col("blocked") == 1, "block").alias("passed"))
     name, verdict = rule(F.col("url"), rules)
-    own = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), name.alias("rule"), verdict.alias("own"), node(F.col("url")).alias("node"))
+    # URLs without a host meet nothing, and are spread instead of meeting each other under one null key
+    key = F.coalesce(node(F.col("url")), F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    own = pages.select(F.col("page_id"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), name.alias("rule"), verdict.alias("own"), key.alias("node"))
     return own.join(passed, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "passed", F.lit("allow")).alias("verdict"), "component")
