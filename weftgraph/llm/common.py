@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z only: lower() would also turn some other letters into ASCII ones."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-cases A-Z only: lower() would also change other letters. Texts of ASCII alone take lower(), which is
+    the same there and much faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def words(text: Column) -> Column:

@@ -20,12 +20,12 @@ matrix of the documents of rate > 0 and a line search, each one aggregation. It
 projected gradient is under SETTLED, and raises if it does not get there.
 
 Documents without words have no tokens and keep rate 1. Null text has no words. Rows
-without labels are mixed like all others; labels with null id or null marks are ignored; without
+without labels are mixed like all others; a document as likely in two domains is of the first in DOMAINS; labels with null id or null marks are ignored; without
 any labels posteriors are uniform. Repeated rows are documents of their own. An empty
 table gives an empty result. DataFrame operations only.
 
-The word lists are learned from a bounded sample: at most SAMPLE labelled documents a
-domain, chosen by a hash of doc_id; class shares and bins from the same rows.
+The classifier is learned from a bounded sample: at most SAMPLE labelled documents a
+domain, chosen by a hash of doc_id, and of each domain the TELLING words that tell most; class shares come from all labels. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, words
+from .common import SEPARATORS, Scratch, cut, unused
 
 DOMAINS = ("clean", "rough", "toxic")
 #: Shares of all tokens.
@@ -58,13 +58,13 @@ def measures(text: Column) -> list[Column]:
     """Binned features, each an int from 0 to BINS - 1. Needs the columns n and hit_<domain>."""
     t = F.coalesce(text, F.lit(""))
     size = F.length(t)
-    share = lambda chars: (size - F.length(F.translate(t, chars, ""))) / F.greatest(size, F.lit(1))
+    share = lambda chars: (size - F.length(F.regexp_replace(t, chars, ""))) / F.greatest(size, F.lit(1))
     scaled = lambda x, k: F.least(F.floor(x * k), F.lit(BINS - 1))
     return [
         F.least(F.floor(F.log2(size + 1) / 1.5), F.lit(BINS - 1)),
-        scaled(share("!?$%&*#@|"), 60),
-        scaled(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 20),
-        scaled(share("0123456789"), 100),
+        scaled(share("[!?$%&*#@|]+"), 60),
+        scaled(share("[A-Z]+"), 20),
+        scaled(share("[0-9]+"), 100),
         F.least(F.floor(size / F.greatest(F.col("n"), F.lit(1))), F.lit(BINS - 1)),
     ]
 
@@ -80,6 +80,11 @@ def _hits(telling: dict[str, list[str]]) -> list[Column]:
     ]
 
 
+def words(text: Column) -> Column:
+    """Array of a text's words in lower case. They only serve as features here, so lower() will do."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+
+
 def _featured(docs: DataFrame, telling: dict[str, list[str]], *keep: str) -> DataFrame:
     base = docs.select(*keep, "text", words(F.col("text")).alias("ws")).withColumn("n", F.size("ws").cast("long"))
     return base.select(*keep, "n", F.array(*[c.cast("int") for c in (*measures(F.col("text")), *_hits(telling))]).alias("x"))
@@ -227,5 +232,38 @@ def settle_rates(soft: DataFrame, target: dict[str, float] | None = None) -> Dat
 def mix(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, domain (the likeliest) and rate for each row of docs."""
     soft = cut(memberships(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels), "doc_id"))
-    likeliest = F.coalesce(*[F.when(F.col(f"p_{d}") >= F.greatest(*[f"p_{e}" for e in DOMAINS]), d) for d in DOMAINS])
-    return settle_rates(fit_rates(soft, target), target).withColumn("domain", likeliest)
+    return settle_rates(fit_rates(soft, target), target).withColumn("domain", _likeliest())
+
+
+def mix_rows(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
+    """docs with n_tokens, p_<domain>, domain, rate and copies: how many times the row is to be taken, the whole part of the
+    rate, and one more with a chance of the rest, drawn by a hash of id and text. Columns of these names in docs are replaced. Rows whose ids repeat or are
+    null are mixed as rows of their own."""
+    made = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "domain", "rate", "copies"]
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
+    scratch = None
+    [key] = unused(docs, "weft_row")
+    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keyed = docs.withColumn(key, F.col("doc_id"))
+    else:  # written down, so that a row keeps its key
+        scratch = Scratch(docs.sparkSession)
+        keyed = scratch.save("rows", docs.withColumn(key, F.monotonically_increasing_id()))
+    found = mix(keyed.select(F.col(key).alias("doc_id"), "text"), labels, target) if scratch is None else _mixed_rows(keyed, key, labels, target)
+    own = found.select(F.col("doc_id").alias(key), *made[:-1])
+    rest = F.col("rate") - F.floor("rate")
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    joined = keyed.join(own, key).select(*docs.columns, *made[:-1], (F.floor("rate") + (draw < rest).cast("long")).cast("long").alias("copies"))
+    if scratch is not None:
+        joined = cut(joined)
+        scratch.drop("rows")
+    return joined
+
+
+def _mixed_rows(keyed: DataFrame, key: str, labels: DataFrame, target: dict[str, float] | None) -> DataFrame:
+    """mix() by row keys; the classifier learns by doc_id."""
+    soft = cut(memberships(keyed.select(F.col(key).alias("doc_id"), F.col("text").cast("string").alias("text")), fit(keyed.select("doc_id", "text"), labels), "doc_id"))
+    return settle_rates(fit_rates(soft, target), target).withColumn("domain", _likeliest())
+
+
+def _likeliest() -> Column:
+    return F.coalesce(*[F.when(F.col(f"p_{d}") >= F.greatest(*[f"p_{e}" for e in DOMAINS]), d) for d in DOMAINS])
