@@ -15,7 +15,9 @@ The dictionaries are fitted on a bounded sample: of each language at most
 SAMPLE_DOCS texts of at most SAMPLE_CHARS characters, chosen by a hash of doc_id,
 and of those what fits into DICT_BYTES. Rows with null doc_id, text or lang are not
 learned from. Without any training text every prediction is und. Each row gives
-one row; other columns are ignored.
+one row, repeated rows and null ids too (null ids are not held out); an empty table gives an empty result; other columns are ignored
+by predict and kept by keep_identified. Long texts are compressed whole. Of equally small sizes the first language by name is predicted, and rejected.
+Only letters count: ASCII and other ones alike, so dashes, digits and emoji do not tell a language.
 """
 
 from __future__ import annotations
@@ -37,10 +39,15 @@ FOLD_TEXTS = 60
 SEED = 5
 _LETTERS = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = regex.compile(r"\p{L}")
+#: What is neither ASCII nor a letter or a mark.
+_OTHER = regex.compile(r"[^\p{L}\p{M}\x00-\x7F]+")
 
 
 def normal(text: str) -> bytes:
-    return b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
+    low = text.lower()
+    if not low.isascii():
+        low = _OTHER.sub(" ", low)
+    return b" ".join(low.encode("utf-8", "replace").translate(_LETTERS).split())
 
 
 def held_out(doc_id: Column, of: int = 5, part: int = 0) -> Column:
@@ -194,6 +201,9 @@ def _keep(model):
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
+    """The rows of docs that are not rejected, with all their columns. All rows if nothing was learned: then no text can
+    be told from any other."""
+    if not model:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_keep(shared), docs.schema)
