@@ -542,4 +542,6 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     least = classes.groupBy("c").agg(F.min("d").alias("component_id"))
     named = classes.join(least, "c").select("f", "component_id")
     with_words = members.where("n > 0").join(named, "f").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_words.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = cut(with_words.unionByName(members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))))
+    scratch.drop("survey")
+    return out
