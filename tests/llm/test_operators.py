@@ -140,6 +140,33 @@ def test_licenses(spark, none):
     assert op2_licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_equal_brute_force(spark):
+    """Templates whole, broken, cut off at either end, repeated, overlapping, in a very long text, and their parts alone."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for label, phrase, keys in op2_licenses.TEMPLATES:
+        w = phrase.split()
+        cut_ = list(w)
+        cut_[int(rng.integers(0, len(w)))] = "other"
+        texts += [f"a {phrase.upper()}, b", " ".join(cut_), " ".join(w[2:]), " ".join(w[:-2]), f"{keys[0]} {keys[0]}", f"x {phrase} {phrase}", label]
+    texts += [prose(40_000, 4) + " " + op2_licenses.TEMPLATES[5][1] + " license " * 20_000, "license " * 3, "lesser general public license lesser general public license"]
+    texts += texts[:2]
+    got = op2_licenses.scan_licenses(frame(spark, [(None if i == 3 else i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    want = []
+    for i, t in enumerate(texts):
+        w, spans = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)), set()
+        for label, phrase, keys in op2_licenses.TEMPLATES:
+            p = phrase.split()
+            first = keys[0].split()
+            at = next(j for j in range(len(p)) if p[j : j + len(first)] == first)
+            for o in [j - at for j in range(len(w)) if w[j : j + len(first)] == first]:
+                if all(any(p[j : j + len(k.split())] == k.split() and o + j >= 0 and w[o + j : o + j + len(k.split())] == k.split() for j in range(len(p))) for k in keys):
+                    spans.add((label, max(o, 0), sum(0 <= o + j < len(w) and w[o + j] == x for j, x in enumerate(p)) / len(p)))
+        want.append((None if i == 3 else i, len(w), sorted(spans)))
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_words, [tuple(s) for s in r.spans])) for r in got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
 def test_urls_follow_links(spark):
     link = '<link rel="canonical" href="%s">'
     rows = [
@@ -451,6 +478,68 @@ def test_secrets(spark, none):
     assert op10_secrets.scan_secrets(none).count() == 0
 
 
+def test_base_spans_equal_brute_force(spark):
+    """Against a reading character by character, which shares no pattern with the operator; also in long texts, and what
+    the network says of base spans."""
+    rng = np.random.default_rng(3)
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    keys = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+
+    def assign(t):
+        out, i = [], 0
+        while i < len(t):
+            k = next((k for k in keys if low(t[i : i + len(k)]) == k and t[i : i + len(k)].isascii()), None)
+            if k is None:
+                i += 1
+                continue
+            j = i + len(k)
+            j += t[j : j + 1] in ("'", '"') and t[j : j + 1] != ""
+            while t[j : j + 1] == " ":
+                j += 1
+            if t[j : j + 1] not in (":", "=") or not t[j : j + 1]:
+                i += 1
+                continue
+            eq = j
+            j += 1
+            while t[j : j + 1] == " ":
+                j += 1
+            j += t[j : j + 1] in ("'", '"') and t[j : j + 1] != ""
+            s = j
+            while t[j : j + 1] in body and t[j : j + 1]:
+                j += 1
+            if j == s:
+                i += 1
+                continue
+            if j - s >= 8:
+                out.append((i, 0, j))
+            i = j if j > eq else i + 1
+        return out
+
+    def runs(t, ok, least, kind, lead=""):
+        out, i = [], 0
+        while i < len(t):
+            if t.startswith(lead, i) and t[i + len(lead) : i + len(lead) + 1] in ok and t[i + len(lead) : i + len(lead) + 1]:
+                j = i + len(lead)
+                while t[j : j + 1] in ok and t[j : j + 1]:
+                    j += 1
+                if j - i >= least:
+                    out.append((i, kind, j))
+                i = j
+            else:
+                i += 1
+        return out
+
+    parts = ["password", "Token", "API_KEY", "apikey", "secret", "passwd", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGH12345", "0123456789abcdef", "deadbeef", "é", "\n", "xyz", "."]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(3000)] + ["".join(rng.choice(parts, 20_000))]
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for t in texts:
+        want = sorted(assign(t) + runs(t, upper, 16, 1, "AKIA") + runs(t, set("0123456789abcdef"), 32, 2))
+        assert op10_secrets.base_spans(t) == want, t
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts[-200:])]
+    got = op10_secrets.scan_secrets(frame(spark, [*rows, rows[0], (None, texts[0], "", "")])).collect()
+    assert len(got) == 202 and all(len(r.base_chances) == r.n_assign + r.n_access + r.n_hex and all(0 <= x <= 1 for x in r.base_chances) for r in got)
+
+
 def test_secrets_inside_long_runs(spark):
     path = "//shop.example.com/v1/accounts/%s/charges/list/of/all/open/items"
     rng = np.random.default_rng(4)
