@@ -56,6 +56,8 @@ BITS = 512
 #: Links that one task joins up in memory.
 LINKS = 200_000
 
+#: Rows of a side (at most 150 bytes each) up to which a join broadcasts it, after counting.
+FEW = 100_000
 #: Classes of a bucket that one task holds against each other; larger buckets are cut into blocks.
 BLOCK = 1_024
 
@@ -371,11 +373,18 @@ def _crossing(batches):
                     yield got
 
 
+def _few(side: DataFrame) -> DataFrame:
+    """side computed, and broadcast if it has at most FEW rows: then the rows that it joins stay where they are, and
+    no bucket meets in one task. Beyond, adaptive execution splits the hot buckets of the join."""
+    side = cut(side)
+    return F.broadcast(side) if side.count() <= FEW else side
+
+
 def against_centres(named: DataFrame) -> DataFrame:
     """named (h, c, f, sp, odd) beside up to CENTRES classes of the same bucket in other components: the smallest of
     each share of the bucket. No task holds a bucket: the centres are aggregated, and a hot bucket is split by the join."""
     centre = named.groupBy("h", F.pmod(F.xxhash64("f"), F.lit(CENTRES)).alias("share")).agg(F.min(F.struct("f", "c", "sp", "odd")).alias("z"))
-    both = named.join(centre.select("h", "z"), "h").where(F.col("c") != F.col("z.c"))
+    both = named.join(_few(centre.select("h", "z")), "h").where(F.col("c") != F.col("z.c"))
     return both.select("f", "sp", "odd", F.col("z.f").alias("g"), F.col("z.sp").alias("tp"), F.col("z.odd").alias("godd"))
 
 
@@ -383,7 +392,7 @@ def in_blocks(named: DataFrame, block: int | None = None) -> DataFrame:
     """named (h, c, f, sp, odd) with a key for each pair of blocks of its bucket that a class belongs to, its block, and
     whether only pairs of different blocks count there."""
     sizes = named.groupBy("h").agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("blocks"))
-    own = named.join(sizes, "h").withColumn("block", F.pmod(F.xxhash64("f", F.lit(1)), F.col("blocks")).cast("int"))
+    own = named.join(_few(sizes), "h").withColumn("block", F.pmod(F.xxhash64("f", F.lit(1)), F.col("blocks")).cast("int"))
     own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("h", F.least("block", "with"), F.greatest("block", "with"))
     return own.select(key.alias("key"), "c", "f", "sp", "odd", "block", (F.col("block") != F.col("with")).alias("other"))
@@ -510,7 +519,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     shared = scratch.save("shared", posted.repartition("h").sortWithinPartitions("h", "f").mapInArrow(_shared, "h long, f long, sp long"))
     large = shared.where("h is not null")
     centre = large.groupBy("h").agg(F.min(F.struct("f", "sp")).alias("z"))
-    first = large.join(centre, "h").where("f != z.f").select("f", "sp", F.col("z.f").alias("g"), F.col("z.sp").alias("tp")).mapInArrow(_fitting, "f1 long, f2 long")
+    first = large.join(_few(centre), "h").where("f != z.f").select("f", "sp", F.col("z.f").alias("g"), F.col("z.sp").alias("tp")).mapInArrow(_fitting, "f1 long, f2 long")
     pairs = scratch.save("pairs", shared.where("h is null").select(F.col("f").alias("f1"), F.col("sp").alias("f2")).unionByName(first).distinct())
     links = cut(_linked(docs, pairs))
     labels = _components(links)
@@ -519,7 +528,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     for k in range(2):
         label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
         named = large.join(label, "f", "left").select("h", F.coalesce("c", "f").alias("c"), "f", "sp")
-        mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+        mixed = _few(named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"))
         named = scratch.save(f"mixed{k}", named.join(mixed, "h", "left_semi"))
         odd = survey.where("n > 0").select("f", "odd").join(named.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.first("odd").alias("odd"))
         named = named.join(odd, "f")
