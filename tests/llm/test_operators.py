@@ -48,7 +48,10 @@ def low(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-def test_join_equals_brute_force(docs, none):
+@pytest.mark.parametrize("links", [3, op1_ngram_join.LINKS])
+def test_join_equals_brute_force(docs, none, monkeypatch, links):
+    """With links joined up in one block, and in blocks of three."""
+    monkeypatch.setattr(op1_ngram_join, "LINKS", links)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     sets = []
     for _, t in rows:
@@ -85,6 +88,16 @@ def test_words_of_any_structure_differ(spark):
     assert together.tolist() == hashes
 
 
+def test_ranges_of_wanted_sets(spark):
+    low, top = -(1 << 63), (1 << 63) - 1
+    ends = [(0, -1), (low, top), (5 << 44, (5 << 44) + 1), (32767 << 44, 32768 << 44), (-(1 << 44), 1)]
+    want = np.zeros(op1_ngram_join.CELLS, bool)
+    want[[(f & 0xFFFFFFFFFFFFFFFF) >> 44 for pair in ends for f in pair]] = True
+    pairs = spark.createDataFrame(ends, "f1 long, f2 long")
+    assert (op1_ngram_join._wanted(pairs) == want).all()
+    assert not op1_ngram_join._wanted(pairs.limit(0)).any()
+
+
 def test_pairs_of_large_buckets(spark):
     """All pairs of different components of a bucket, cut into blocks or not, and all classes against the centres."""
     n = 60

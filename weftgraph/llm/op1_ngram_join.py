@@ -46,6 +46,8 @@ NUM, DEN = 80, 100
 #: Counters in the frequency sketch; it is broadcast, and this bounds it (2 MB).
 CELLS = 1 << 20
 CHUNKS = 64
+#: Tasks that add up the chunks of all tasks; their data are of fixed size, whatever the input.
+ADDERS = 16
 #: Up to this many classes a bucket yields all its pairs at once.
 SMALL = 8
 PIECE = 1 << 20
@@ -178,7 +180,7 @@ def _total(rows: DataFrame) -> np.ndarray:
         packed = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
 
-    got = rows.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect()
+    got = rows.repartition(ADDERS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
     out = np.zeros(CELLS, np.uint32)
     for r in got:
         out[r.chunk * (CELLS // CHUNKS) : (r.chunk + 1) * (CELLS // CHUNKS)] = np.frombuffer(r.counts, "<u4")
@@ -459,21 +461,22 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("f1").filter(mask), batch.column("f2").filter(mask)], names=["f1", "f2"])
 
 
-def _cells_of(batches):
-    cells = np.zeros(CELLS, np.int64)
-    for batch in batches:
-        f = batch.column("f").to_numpy(zero_copy_only=False).view(np.uint64)
-        np.maximum(cells, np.bincount((f >> _U(44)).astype(np.int64), minlength=CELLS) > 0, out=cells)
-    chunk, counts = _chunk_rows(cells)
-    yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(counts, pa.binary())], names=["chunk", "counts"])
+def _wanted(pairs: DataFrame) -> np.ndarray:
+    """A bit for each of CELLS ranges of fingerprints: whether a pair has an end in it. Bitmaps are aggregated before the
+    shuffle, and 128 KB reach the driver, whatever the number of pairs."""
+    ends = pairs.select(F.explode(F.array("f1", "f2")).alias("f")).select(F.shiftrightunsigned("f", 44).alias("cell"))
+    bits = ends.groupBy(F.bitmap_bucket_number(F.col("cell") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("cell") + 1)).alias("bits"))
+    out = np.zeros(CELLS, bool)
+    for r in bits.collect():
+        part = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        out[(r.bucket - 1) * len(part) : r.bucket * len(part)] = part
+    return out
 
 
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Links that span the pairs of classes that link. Only sets that a pair may ask for leave the scan:
     a table of CELLS bits says which; false hits cost traffic, never a result."""
-    spark = docs.sparkSession
-    ends = pairs.select(F.col("f1").alias("f")).unionByName(pairs.select(F.col("f2").alias("f")))
-    wanted = spark.sparkContext.broadcast(_total(ends.mapInArrow(_cells_of, "chunk int, counts binary")) > 0)
+    wanted = docs.sparkSession.sparkContext.broadcast(_wanted(pairs))
     sets = docs.mapInArrow(_sets(wanted), "f long, u binary").dropDuplicates(["f"])
     one = pairs.join(sets.select(F.col("f").alias("f1"), F.col("u").alias("u1")), "f1")
     two = one.join(sets.select(F.col("f").alias("f2"), F.col("u").alias("u2")), "f2")
@@ -500,9 +503,14 @@ def _stars(batches):
 
 def _components(links: DataFrame) -> DataFrame:
     """Labels of linked classes. Links are first joined up in blocks of about LINKS each,
-    so the distributed rounds see a link or two for each class, however dense its group."""
+    so the distributed rounds see a link or two for each class, however dense its group. A single block needs no
+    rounds: its stars are the components."""
     blocks = max(1, -(-links.count() // LINKS))
-    return cut(connected_components(links.coalesce(blocks).mapInArrow(_stars, "f1 long, f2 long"), "f1", "f2"))
+    stars = links.coalesce(blocks).mapInArrow(_stars, "f1 long, f2 long")
+    if blocks > 1:
+        return cut(connected_components(stars, "f1", "f2"))
+    stars = cut(stars)
+    return stars.select(F.col("f2").alias("node"), F.col("f1").alias("component")).unionByName(stars.select(F.col("f1").alias("node"), F.col("f1").alias("component")).distinct())
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -528,7 +536,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     for k in range(2):
         label = labels.select(F.col("node").alias("f"), F.col("component").alias("c"))
         named = large.join(label, "f", "left").select("h", F.coalesce("c", "f").alias("c"), "f", "sp")
-        mixed = _few(named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"))
+        mixed = cut(named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h"))
+        if not (buckets := mixed.count()):
+            break  # all classes of each bucket are joined
+        mixed = F.broadcast(mixed) if buckets <= FEW else mixed
         named = scratch.save(f"mixed{k}", named.join(mixed, "h", "left_semi"))
         odd = survey.where("n > 0").select("f", "odd").join(named.select("f").distinct(), "f", "left_semi").groupBy("f").agg(F.first("odd").alias("odd"))
         named = named.join(odd, "f")
