@@ -470,6 +470,13 @@ def test_lines_of_hosts(spark):
     assert [r.text for r in got if r.doc_id is None] == ["own\n" + "long line\n" * 30_000 + "end"]
 
 
+def test_lines_with_digits(spark):
+    """Digits at the ends of lines belong to them, at any place of the text; only spaces do not."""
+    rows = [(i, f"0 items\n1 item {i} 1\n{2 + i} of 2\n 3", "en", "s") for i in range(12)] + [(20 + i, f"{i}0 items\n item \nxx{i}", "en", "s") for i in range(5)]
+    got = {r.doc_id: r.text for r in op9_lines.drop_boilerplate(frame(spark, rows), ratio=0.3).collect()}
+    assert got[4] == "1 item 4 1\n6 of 2" and got[23] == "30 items\n item \nxx3" and got[20] == "00 items\n item \nxx0"
+
+
 def test_lines(spark, none):
     rows = [(i, f"own {i}\n  Menu \n\nown line {i}", "en", "s") for i in range(20)] + [(50, "Menu", "en", "t"), (51, None, "en", "s"), (52, "", "en", None), (53, "Menu", "en", "s"), *[(60 + k, "copied\ntext", "en", "s") for k in range(9)]]
     d = frame(spark, rows)

@@ -40,7 +40,7 @@ def site_of(docs: DataFrame, site: str = "source", url: str = "url") -> Column:
 
 def _lines(text: Column) -> Column:
     """The different lines of a text that are not blank."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def boilerplate(docs: DataFrame, site: str | Column = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
