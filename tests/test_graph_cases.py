@@ -139,3 +139,13 @@ def test_paths_of_whole_components(spark):
     assert [tuple(r) for r in few] == [(1, 6)]
     blocks = {tuple(r) for r in fixpoint.source_counts(df.where("src < 9"), spark.range(10), block=8).collect()}
     assert blocks == {tuple(r) for r in fixpoint.source_counts(df.where("src < 9"), spark.range(10)).collect()}
+
+
+def test_hook_wave_through_better_vertices(spark):
+    """The wave of an inserted edge goes on behind a vertex that is as near already (2 at 11), over a new edge whose hook is dear."""
+    steps = [[(0, 1), (1, 2), (2, 3)], [(0, 5), (5, 2), (2, 6), (6, 7)], [(7, 3)]]
+    state = dynamic.GrowingLevels(spark, 0, on_insert=F.col("value") + 10)
+    for edges in steps:
+        state.insert(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r.id: r.level for r in state.levels().collect()} == {0: 0, 1: 10, 2: 11, 3: 12, 5: 10, 6: 12, 7: 13}
+    state.close()
