@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -580,3 +581,49 @@ def test_secrets_inside_long_runs(spark):
         assert b - a == op10_secrets.BODY
         whole |= set(range(a, b))
     assert whole == set(range(3, 1000))
+
+
+def _found_by_hand(rows):
+    out = {}
+    for text in (r[1] for r in rows if r[1] is not None):
+        base = op10_secrets.base_spans(text)
+        for s, e in [(s, e) for s, _, e in base] or op10_secrets.candidates(text, base):
+            for a, b in op10_secrets.readings(s, e):
+                key = (op10_secrets.window(text, a, b).astype(np.uint8).tobytes(), int(bool(base)))
+                out[key] = out.get(key, False) or zlib.crc32(text.encode()) % 4 == 0
+    return out
+
+
+def test_secrets_are_learned_from_all_texts(spark, none, monkeypatch):
+    """No text, span or reading is left out, however many there are; the sums over parts are those over the whole."""
+    many = [(i, f"word{i % 7} user.number{i:06d}@mail.example.com and {'x' * (i % 5)}", "en", "a") for i in range(4_000)]
+    many += [(5_000 + i, " ".join(f"token={i:04d}abcdefgh{k}" for k in range(9)), "en", "a") for i in range(200)]
+    many += [(6_000, "Ab1" * 400, "en", "a"), (6_001, "0123456789abcdef" * 50, "en", "a"), (6_002, None, "en", "a"), many[0], many[-1]]
+    want = _found_by_hand(many)
+    found = op10_secrets.findings_of(frame(spark, many).repartition(5))
+    assert {(bytes(r.w), r.secret): r.held for r in found.collect()} == want and len(want) > 5_000
+    assert op10_secrets.findings_of(none).count() == 0
+    monkeypatch.setattr(op10_secrets, "PASSES", 1)
+    got, start = op10_secrets.train(found), op10_secrets.train()
+    x, y, cutoff, _ = op10_secrets._generated()
+    n = [sum(k == kind for _, k in want) for kind in (0, 1)]
+    own = [(w, k) for (w, k), held in want.items() if not held]
+    x = np.concatenate((x[:cutoff], [np.frombuffer(w, np.uint8) for w, _ in own]))
+    y = np.concatenate((y[:cutoff], [float(k) for _, k in own]))
+    weight = np.array([1.0] * cutoff + [min(op10_secrets.FOUND, *n) / n[k] for _, k in own])
+    net = op10_secrets._Adam({k: start[k] for k in op10_secrets._WEIGHTS}, op10_secrets.DAMP)
+    parts = [op10_secrets._gradient(net.w, op10_secrets._patches(x[i : i + 256]), y[i : i + 256], weight[i : i + 256]) for i in range(0, len(y), 256)]
+    net.follow({k: sum(g[k] for g in parts) / weight.sum() for k in net.w})
+    assert all(np.allclose(got[k], net.w[k], atol=1e-6) for k in net.w)
+
+
+def test_secrets_learn_what_stands_late_in_texts(spark):
+    """Harmless runs that only ever come after four others of their text are learned too."""
+    rng = np.random.default_rng(8)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    late = lambda: "build/" + "".join(rng.choice(letters, 30))
+    mail = lambda: "-".join(rng.choice(VOCABULARY, 4)) + str(rng.integers(10, 99))
+    rows = [(i, " and ".join([*(mail() for _ in range(4)), *(late() for _ in range(6))]), "en", "a") for i in range(150)]
+    rows += [(1_000 + i, f"the {rng.choice(VOCABULARY)} has password: {''.join(rng.choice(letters, 30))} in it", "en", "a") for i in range(500)]
+    got = op10_secrets.scan_secrets(frame(spark, rows)).where("doc_id < 1000").collect()
+    assert sum(r.spans.count("net:") for r in got) < 45  # of 1,500 runs, 900 of them late
