@@ -127,7 +127,11 @@ _EDGE = BEFORE - WIDTH + 1
 
 
 def _forward(w, p):
-    a = np.maximum(w["f"][p].sum(2) + w["b"], 0)  # windows x places x filters
+    a = w["f"][p[:, :, 0]]  # windows x places x filters
+    for j in range(1, WIDTH):
+        a += w["f"][p[:, :, j]]
+    a += w["b"]
+    np.maximum(a, 0, out=a)
     inside = a[:, _EDGE : BEFORE + BODY]
     outside = np.concatenate((a[:, :_EDGE], a[:, BEFORE + BODY :]), 1)
     h = np.concatenate((inside.max(1), inside.mean(1), outside.max(1)), 1)
@@ -149,8 +153,9 @@ def _gradient(w, q, t, weight):
     da[i, out[a[:, out].argmax(1)], k] += dh[:, 2 * FILTERS :]
     da *= a > 0
     # each patch uses one row of each of WIDTH parts of the filter table
-    cells = lambda j: ((q[:, :, j] - j * _SIZE)[:, :, None] * FILTERS + k).ravel()
-    df = [np.bincount(cells(j), da.ravel(), _SIZE * FILTERS) for j in range(WIDTH)]
+    codes = np.concatenate((q[:, :, 0], q[:, 1 - WIDTH :, -1] - (WIDTH - 1) * _SIZE), 1)
+    cells = codes[:, :, None] * FILTERS + k
+    df = [np.bincount(cells[:, j : j + a.shape[1]].ravel(), da.ravel(), _SIZE * FILTERS) for j in range(WIDTH)]
     return {"f": np.concatenate(df).reshape(w["f"].shape), "b": da.sum((0, 1)), "o": h.T @ d, "c": d.sum()}
 
 
@@ -221,8 +226,8 @@ def _slopes(sent):
         total = np.zeros(0)
         for batch in batches:
             x, y, weight = _columns(batch)
-            for i in range(0, len(y), 256):
-                g = _gradient(sent.value, _patches(x[i : i + 256]), y[i : i + 256], weight[i : i + 256])
+            for i in range(0, len(y), 64):  # as many as stay in a core's cache
+                g = _gradient(sent.value, _patches(x[i : i + 64]), y[i : i + 64], weight[i : i + 64])
                 g = np.concatenate([np.ravel(g[k]) for k in sorted(g)])
                 total = total + g if len(total) else g
         if len(total):
